@@ -54,9 +54,9 @@ def block_pairs(members: DataFrame, component: str = "component", member: str =
 def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame:
     """(member, links, root) for each member with links in a unit.
 
-    units: component, i, j, block, member (long, its order too), copies, text. links: copies of the members
-    of Jaccard similarity `least` or more, or, if earlier, 1 where a smaller member is among
-    them; root: the smallest member in reach within the unit.
+    units: component, i, j, block, member (long), copies, text and, if earlier, the order's columns
+    o1, o2. links: copies of the members of Jaccard similarity `least` or more, or, if earlier,
+    1 where one that stands before is among them; root: the smallest member in reach within the unit.
     """
 
     def unit(t: pa.Table) -> pa.RecordBatch | None:
@@ -82,7 +82,12 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.arange(n)
         root = member[order][forest_roots(n, rank[a], rank[b])][rank]
-        links = (linked & (member[None, :] < member[:, None])).any(1).astype(np.int64) if earlier else linked @ copies
+        if earlier:
+            stand = np.empty(n, dtype=np.int64)
+            stand[np.lexsort((t.column("o2").to_numpy(), t.column("o1").to_numpy()))] = np.arange(n)
+            links = (linked & (stand[None, :] < stand[:, None])).any(1)
+        else:
+            links = linked @ copies
         own = linked.any(1)
         return pa.RecordBatch.from_arrays([pa.array(member[own]), pa.array(links[own].astype(np.int64)), pa.array(root[own])], ["member", "links", "root"])
 
@@ -93,5 +98,5 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
                     yield out
 
     keys = ["component", "i", "j"]
-    dealt = units.select(*keys, "block", "member", "copies", "text").repartition(*keys).sortWithinPartitions(*keys)
+    dealt = units.select(*keys, "block", "member", "copies", "text", *(["o1", "o2"] if earlier else [])).repartition(*keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "member long, links long, root long")
