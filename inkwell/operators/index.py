@@ -18,7 +18,7 @@ def terms(f: FieldSpec) -> Column:
     else:
         found = c if f.analyzer == "terms" else ANALYZERS[f.analyzer](c)
         if f.suffix:
-            found = F.array_distinct(F.flatten(F.transform(found, suffixes)))
+            found = F.array_distinct(F.flatten(F.transform(found, lambda t: suffixes(t))))
         own = F.transform(found, lambda t: F.struct(F.lit(f.name).alias("field"), F.lit("s").alias("term_type"), t.alias("term"), F.lit(None).cast("long").alias("num")))
     return F.when(c.isNotNull(), own).otherwise(F.array().cast("array<struct<field:string,term_type:string,term:string,num:bigint>>"))
 
