@@ -11,7 +11,7 @@ from .common import lookup, materialise
 MARGINS = ("source", "lang", "topic")
 #: Targets without a given share: the power of what there is; under 1 it lifts what is rare.
 POWER = 0.7
-ROUNDS = 60
+ROUNDS = 25
 #: Up to so many cells (a few MB) are raked on the driver and broadcast; more are raked as a table.
 CELLS = 50_000
 SEED = 17
