@@ -24,7 +24,7 @@ from .common import materialise
 SAMPLE = 20_000
 FEATURES = 2_000
 #: Lengths of the beginnings that are features.
-PREFIXES = range(3, 7)
+PREFIXES = range(3, 10)
 #: Documents of the sample a feature must be in, and standard deviations its share of harmful ones must be off.
 LEAST_DOCS = 4
 LEAST_DEVIATION = 3.0
