@@ -30,7 +30,7 @@ class Merges:
     gives the token that two halves make, or None.
     """
 
-    def __init__(self, ranks: dict[str, int], parts: dict[str, tuple[str, str]], tokens, bound: int = 1 << 20):
+    def __init__(self, ranks: dict[str, int], parts: dict[str, tuple[str, str]], tokens, bound: int = 1 << 18):
         self.ranks, self.parts = ranks, parts
         self.made = {v: k for k, v in parts.items()}
         self.table: dict[tuple[str, str], bool] = {}
@@ -151,7 +151,7 @@ class WordBPE:
     """The tokenizer of a .json file of the tokenizers library with word ends: NFC, white space to one
     blank, lower case; words by a pattern; bytes; merges. Special strings in a text become their ids."""
 
-    def __init__(self, path: str, words_kept: int = 400_000):
+    def __init__(self, path: str, words_kept: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -234,7 +234,7 @@ class PieceBPE:
 
     MARK = "▁"
 
-    def __init__(self, path: str, words_kept: int = 400_000):
+    def __init__(self, path: str, words_kept: int = 200_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)

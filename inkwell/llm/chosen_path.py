@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, forest_roots, key_groups, lookup, materialise, mix64, with_ids
-from .shingles import text_sets
+from .shingles import runs, text_sets
 from .verify import block_pairs, verified
 
 SIMILARITY = 0.8
@@ -42,7 +42,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, rows, row, h in text_sets(batch.column(1)):
-                own, at = np.unique(row, return_index=True)
+                own, at = runs(row)
                 if not len(own):
                     continue
                 ids = batch.column(0).slice(first, rows).take(pa.array(own))

@@ -14,6 +14,8 @@ POWER = 0.7
 ROUNDS = 25
 #: Up to so many cells (a few MB) are raked on the driver and broadcast; more are raked as a table.
 CELLS = 50_000
+#: Part of all tokens that is drawn.
+FRACTION = 0.5
 SEED = 17
 
 
@@ -45,6 +47,17 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray],
     return w
 
 
+def factor(drawn, fraction: float, steps: int = 60) -> float:
+    """The factor for which drawn(factor), which ascends, is the fraction: by halving."""
+    low, high = 0.0, 1.0
+    while drawn(high) < fraction and high < 1 << 16:
+        low, high = high, high * 2
+    for _ in range(steps):
+        mid = (low + high) / 2
+        low, high = (mid, high) if drawn(mid) < fraction else (low, mid)
+    return high
+
+
 def target_shares(shares: dict, given: dict | None) -> dict:
     """The target of each value there is: as given (0 if not named) or the power of its share; they sum to 1."""
     raw = {k: (given.get(k, 0.0) if given else v**POWER) for k, v in shares.items()}
@@ -54,13 +67,14 @@ def target_shares(shares: dict, given: dict | None) -> dict:
     return {k: v / total for k, v in raw.items()}
 
 
-def cell_weights(cells: DataFrame, targets: dict[str, dict] | None = None, most: int = CELLS) -> DataFrame:
-    """(cell, probability) for cells (cell, margins, tokens): raked weights, the largest of them 1."""
+def cell_weights(cells: DataFrame, targets: dict[str, dict] | None = None, most: int = CELLS, fraction: float = FRACTION) -> DataFrame:
+    """(cell, weight, probability) for cells (cell, margins, tokens): raked weights, whose mean over tokens is 1,
+    and the weights times the one factor, at most 1 each, that draws `fraction` of all tokens."""
     spark, targets = cells.sparkSession, targets or {}
     if cells.count() <= most:
         rows = cells.collect()
         if not rows:
-            return cells.select("cell", F.lit(1.0).alias("probability"))
+            return cells.select("cell", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability"))
         tokens, codes, shares = np.array([float(r.tokens) for r in rows]), [], []
         for m in MARGINS:
             values = sorted({r[m] for r in rows}, key=lambda x: (x is not None, x))
@@ -70,7 +84,9 @@ def cell_weights(cells: DataFrame, targets: dict[str, dict] | None = None, most:
             target = target_shares(dict(zip(values, own.tolist(), strict=True)), targets.get(m))
             shares.append(np.array([target[v] for v in values]))
         w = rake(tokens, codes, shares)
-        return F.broadcast(spark.createDataFrame([(r.cell, float(x)) for r, x in zip(rows, w / w.max(), strict=True)], "cell string, probability double"))
+        w /= (w @ tokens) / tokens.sum()
+        s = factor(lambda f: float(np.minimum(1, f * w) @ tokens) / tokens.sum(), fraction)
+        return F.broadcast(spark.createDataFrame([(r.cell, float(x), float(min(1.0, s * x))) for r, x in zip(rows, w, strict=True)], "cell string, weight double, probability double"))
     w = cells.withColumn("w", F.lit(1.0))
     goal = {}
     for m in MARGINS:
@@ -85,21 +101,23 @@ def cell_weights(cells: DataFrame, targets: dict[str, dict] | None = None, most:
     for i in range(ROUNDS):
         for m in MARGINS:
             sums = w.groupBy(F.col(m).alias("value")).agg(F.sum(F.col("w") * F.col("tokens")).alias("mass"))
-            factor = sums.join(goal[m], sums["value"].eqNullSafe(goal[m]["value"])).select(sums["value"], F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("factor"))
-            w = w.join(factor, w[m].eqNullSafe(factor["value"])).withColumn("w", F.col("w") * F.col("factor")).drop("value", "factor")
+            lift = sums.join(goal[m], sums["value"].eqNullSafe(goal[m]["value"])).select(sums["value"], F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("lift"))
+            w = w.join(lift, w[m].eqNullSafe(lift["value"])).withColumn("w", F.col("w") * F.col("lift")).drop("value", "lift")
         w = materialise(w, "mix-weights")
-    top = w.agg(F.max("w")).first()[0]
-    return w.select("cell", (F.col("w") / top).alias("probability"))
+    mean = w.agg(F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).first()[0]
+    w = w.withColumn("w", F.col("w") / mean)
+    s = factor(lambda f: w.agg(F.sum(F.least(F.lit(1.0), F.col("w") * f) * F.col("tokens")) / F.sum("tokens")).first()[0], fraction, 20)
+    return w.select("cell", F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * s).alias("probability"))
 
 
 def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict] | None = None, seed: int = SEED, most: int = CELLS) -> DataFrame:
-    """docs with topic, n_tokens, probability and sampled: each document is drawn on its own, with the
-    raked weight of its cell of source, language and topic, the largest of which is 1; so the drawn
-    tokens have the target marginals in expectation. Nulls are a value of each margin. Rows that
+    """docs with topic, n_tokens, weight, probability and sampled: each document is drawn on its own, by
+    the raked weight of its cell of source, language and topic, so that FRACTION of the tokens is
+    expected and they have the target marginals, but where a cell is drawn whole and has no more. Nulls are a value of each margin. Rows that
     repeat a doc_id are drawn together; null ids by their texts. Columns of these names are replaced.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = docs.drop("n_tokens", "probability", "sampled", *([] if topic is None and "topic" in docs.columns else ["topic"]))
+    docs = docs.drop("n_tokens", "weight", "probability", "sampled", *([] if topic is None and "topic" in docs.columns else ["topic"]))
     if "topic" not in docs.columns:
         docs = docs.withColumn("topic", form_topic(F.col("text")) if topic is None else topic)
     docs = docs.withColumns({"n_tokens": token_count(text).cast("long"), "mix_cell": F.to_json(F.struct(*MARGINS))})
@@ -108,8 +126,8 @@ def mix(docs: DataFrame, topic: Column | None = None, targets: dict[str, dict] |
     out = docs.join(weights, "mix_cell", "left") if cells.count() <= most else lookup(docs, weights, ["mix_cell"])
     own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
     drawn = F.shiftrightunsigned(own, 11) / F.lit(float(1 << 53))
-    return out.withColumn("sampled", drawn < F.col("probability")).select(*docs.columns, "probability", "sampled").drop("mix_cell")
+    return out.withColumn("sampled", drawn < F.col("probability")).select(*docs.columns, "weight", "probability", "sampled").drop("mix_cell")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "lang", "topic", "n_tokens", "probability", "sampled")
+    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "sampled")

@@ -18,7 +18,7 @@ from .common import mix64
 WORDS = 5
 HASH_BITS = 44
 #: Bytes of text taken at once; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -40,17 +40,24 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def chunks(texts: pa.Array, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets in them) of the lower-cased texts, about CHUNK bytes at a time; null is empty."""
-    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    at = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
-        end = min(end, len(texts))
-        yield row, data[at[row] : at[end]], at[row : end + 1] - at[row]
-        row = end
+    for top in range(0, len(texts), rows):
+        own = pc.utf8_lower(pc.fill_null(texts.slice(top, rows).cast(pa.large_string()), ""))
+        at = np.frombuffer(own.buffers()[1], dtype=np.int64)[own.offset : own.offset + len(own) + 1]
+        data = np.frombuffer(own.buffers()[2] or b"", dtype=np.uint8)
+        row = 0
+        while row < len(own):
+            end = max(row + 1, int(np.searchsorted(at, at[row] + CHUNK, "right")) - 1)
+            end = min(end, len(own))
+            yield top + row, data[at[row] : at[end]], at[row : end + 1] - at[row]
+            row = end
+
+
+def runs(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of an ascending array and where each begins."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    return group[first], first
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -41,7 +41,7 @@ class Model:
     thresholds: np.ndarray
     kept: dict[str, float] = field(default_factory=dict)
 
-    def word(self, w: str, most: int = 500_000) -> float:
+    def word(self, w: str, most: int = 100_000) -> float:
         own = sum(self.weights.get(f, 0.0) for f in features_of(w))
         if len(self.kept) >= most:
             self.kept.clear()
