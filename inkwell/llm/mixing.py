@@ -106,7 +106,7 @@ def cell_weights(cells: DataFrame, targets: dict[str, dict] | None = None, most:
         w = materialise(w, "mix-weights")
     mean = w.agg(F.sum(F.col("w") * F.col("tokens")) / F.sum("tokens")).first()[0]
     w = w.withColumn("w", F.col("w") / mean)
-    s = factor(lambda f: w.agg(F.sum(F.least(F.lit(1.0), F.col("w") * f) * F.col("tokens")) / F.sum("tokens")).first()[0], fraction, 20)
+    s = factor(lambda f: w.agg(F.sum(F.least(F.lit(1.0), F.col("w") * f) * F.col("tokens")) / F.sum("tokens")).first()[0], fraction, 32)
     return w.select("cell", F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * s).alias("probability"))
 
 
