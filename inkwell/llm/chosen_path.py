@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest_roots, key_groups, lookup, materialise, mix64, with_ids
+from .common import components, forest_roots, key_groups, lookup, materialise, mix64, small_batches, with_ids
 from .shingles import runs, text_sets
 from .verify import block_pairs, verified
 
@@ -192,6 +192,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     are their own class (null for a null id). Rows that share a doc_id are one document; of
     its texts the one with the smallest xxhash64 counts. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialise(signatures(docs), "path-sigs")

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
+#: Rows of an Arrow batch where the session has Spark's default, 10,000: whole texts are long, and a
+#: batch stands in the JVM, in the worker and in what the worker returns at once.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to BATCH_ROWS, unless they were set by the user."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share. Only where the session names none (tests) a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

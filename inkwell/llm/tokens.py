@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import piece_bpe, word_bpe
+from .common import small_batches
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +35,7 @@ def encode(df: DataFrame, file: str = "word_bpe_49k.json", key: str = "doc_id",
             flat = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int64)
             yield pa.RecordBatch.from_arrays([keys, pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat)), pa.array([bpe.decode_bytes(x).decode() for x in ids], pa.string())], ["key", "n_tokens", "ids", "decoded"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids array<long>, decoded string").withColumnRenamed("key", key)
 
@@ -47,6 +49,7 @@ def decode(df: DataFrame, file: str = "word_bpe_49k.json", key: str = "doc_id",
             out = [bpe.decode_bytes(np.array(x or [], dtype="<u4").tobytes()).decode() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["key", "decoded"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("key"), df[ids].alias("ids")).mapInArrow(run, f"key {kind}, decoded string").withColumnRenamed("key", key)
 
@@ -62,6 +65,7 @@ def digests(df: DataFrame, file: str = "word_bpe_49k.json", key: str = "doc_id",
             ids = [bpe.encode_bytes(t) for t in texts.to_pylist()]
             yield pa.RecordBatch.from_arrays([keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(bpe.decode_bytes(x)) for x in ids])], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
 
@@ -87,6 +91,7 @@ def token_counts(df: DataFrame, limit: int = 4096, file: str = "piece_bpe_32k.mo
             n = np.array([bpe.count(t) for t in own], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([keys, pa.array([len((t or "").encode()) for t in own], pa.int64()), pa.array(n), pa.array(n > limit)], ["key", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("key", key)
 
@@ -102,6 +107,7 @@ def prefix_counts(df: DataFrame, file: str = "piece_bpe_32k.model", key: str = "
         for keys, texts in slices(batches, 16):
             yield pa.RecordBatch.from_arrays([keys, pa.array([bpe.prefixes(t) for t in texts.to_pylist()], pa.list_(pa.int32()))], ["key", "counts"])
 
+    small_batches(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInArrow(run, f"key {kind}, counts array<int>").withColumnRenamed("key", key)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Labelled documents the model is fitted on at most, those of the smallest hashes; features it has weights for at most.
 SAMPLE = 20_000
@@ -114,10 +114,12 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int
 
     With one grade or none in the sample nothing is told apart: every document has that grade.
     """
+    small_batches(docs.sparkSession)
     drawn = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # A few texts at a time: their features take much more memory than they.
+        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
             own = [Counter(f for w in words(t) for f in features_of(w)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[*c.items()] for c in own], pa.map_(pa.string(), pa.int32()))], ["doc_id", "grade", "features"])
 
@@ -151,6 +153,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
 
     A null text is an empty one, scored like any; a column of one of these names is replaced.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("severity", "grade", "p_toxic", "toxic")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
