@@ -18,7 +18,7 @@ from .common import mix64
 WORDS = 5
 HASH_BITS = 44
 #: Bytes of text taken at once; a longer text is taken alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 PLACE = mix64(np.arange(1, WORDS + 1, dtype=np.uint64)) | np.uint64(1)
