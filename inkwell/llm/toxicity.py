@@ -135,11 +135,9 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int
     picked = by_word.where(F.col("n") >= LEAST_DOCS).withColumn("off", off).where(F.col("off") >= LEAST_DEVIATION).orderBy(F.desc("off"), "feature").limit(features)
     vocabulary = sorted(r.feature for r in picked.collect())
     place = {w: i for i, w in enumerate(vocabulary)}
-    # Of the sample only grades and picked features come to the driver.
-    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "feature string"))
-    graded = materialise(labelled.select(F.monotonically_increasing_id().alias("row"), "grade", "features"), "toxicity-rows")
-    entries = graded.select("row", F.explode("features").alias("feature", "x")).join(known, "feature").groupBy("row").agg(F.collect_list(F.struct("feature", "x")).alias("own"))
-    rows = graded.join(entries, "row", "left").select("grade", "own.feature", "own.x").toArrow()
+    # Of the sample only grades and picked features come to the driver; the bounded vocabulary goes to the rows.
+    own = F.map_filter("features", lambda f, _: f.isin(vocabulary)).alias("own")
+    rows = labelled.select("grade", own).select("grade", F.map_keys("own").alias("feature"), F.map_values("own").alias("x")).toArrow()
     lists, x = rows.column("feature").to_pylist(), rows.column("x").to_pylist()
     row = np.repeat(np.arange(len(lists)), [len(v or ()) for v in lists])
     col = np.array([place[w] for v in lists for w in v or ()], dtype=np.int64)

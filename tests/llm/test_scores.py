@@ -37,6 +37,13 @@ def test_toxicity_of_odd_rows(spark):
     assert score(docs.limit(0), fit(docs, severity_grades(odd))).collect() == []
 
 
+def test_toxicity_without_telling_words(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three four"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = score(docs, fit(docs, severity_grades(labels))).collect()
+    assert len({r.p_toxic for r in rows}) == 1 and abs(rows[0].p_toxic - 1 / 3) < 0.01
+
+
 def test_raked_marginals(spark, mid):
     docs = spark.read.parquet(f"{mid}/documents.parquet")
     goal = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
