@@ -2,9 +2,11 @@
 
 Vectors of a label are dealt to shards of a bounded size. Each shard's graph is built in numpy,
 a batch of vectors at a time; each pair of shards of a label is a unit of work, in which the
-vectors of one are looked up in the graph of the other. A beam is widened while it holds
-nothing but links, and for all queries until a sample, compared by brute force, shows the
-target recall. Links are verified by cosine in double precision, and their components united.
+vectors of one are looked up in the graph of the other. Beams are widened until a sample,
+compared by brute force, shows the target recall. Links are verified by cosine in double
+precision, and their components united.
+A beam that is full of links, or as wide as SCAN, gives way to the exact comparison of its
+query with the whole shard, whose size is bounded: large groups cost no ever wider beams.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest_roots, lookup, materialise, mix64
+from .common import components, lookup, materialise, mix64
 
 SIMILARITY = 0.98
 SHARD = 4096
@@ -26,6 +28,10 @@ BEAM = 48
 RECALL = 0.99
 AUDIT = 128
 QUERIES = 256
+#: Beams of this width or more are slower than comparing the query with its whole shard.
+SCAN = 768
+#: Pairs that are verified at once.
+PAIRS = 1 << 15
 
 
 class Graph:
@@ -149,19 +155,15 @@ class Graph:
             start = self.beam(queries, start, lv, 4)[0][:, 0]
         return self.beam(queries, start, 0, min(width, len(self.vectors)))
 
-    def near(self, queries: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs in the beams with about `least` or more; a beam that holds nothing else is widened."""
-        out_q, out_n, slack = [], [], least - 1e-5
+    def near(self, queries: np.ndarray, least: float, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For a block of queries at a time: (query, node) pairs in the beams with about `least` or
+        more, and the queries whose beams hold nothing else, so that there may be more outside."""
+        slack = least - 1e-5
         for x in range(0, len(queries), QUERIES):
-            todo, w = np.arange(x, min(x + QUERIES, len(queries))), width
-            while len(todo):
-                found, sims = self.search(queries[todo], w)
-                full = (sims[:, -1] >= slack) & (w < len(self.vectors))
-                a, b = np.nonzero((sims >= slack) & (found >= 0) & ~full[:, None])
-                out_q.append(todo[a])
-                out_n.append(found[a, b])
-                todo, w = todo[full], 4 * w
-        return np.concatenate(out_q or [np.zeros(0, np.int64)]), np.concatenate(out_n or [np.zeros(0, np.int64)])
+            found, sims = self.search(queries[x : x + QUERIES], width)
+            full = (sims[:, -1] >= slack) & (width < len(self.vectors))
+            q, at = np.nonzero((sims >= slack) & (found >= 0) & ~full[:, None])
+            yield q + x, found[q, at], np.flatnonzero(full) + x
 
     def pack(self) -> bytes:
         out = io.BytesIO()
@@ -180,6 +182,45 @@ def unit(raw: np.ndarray) -> np.ndarray:
     return raw / np.sqrt(np.einsum("nd,nd->n", raw, raw))[:, None]
 
 
+def verified(a: np.ndarray, b: np.ndarray, q: np.ndarray, x: np.ndarray, least: float) -> np.ndarray:
+    """Which pairs of rows q of a and x of b have a cosine of `least` or more."""
+    parts = [np.einsum("nd,nd->n", a[q[i : i + PAIRS]], b[x[i : i + PAIRS]]) >= least for i in range(0, len(q), PAIRS)]
+    return np.concatenate(parts) if parts else np.zeros(0, bool)
+
+
+def scan(a: np.ndarray, b: np.ndarray, rows: np.ndarray, least: float, linked: np.ndarray) -> None:
+    """Sets linked for these rows of a and all of b; what a product leaves in doubt is verified like other pairs."""
+    for i in range(0, len(rows), QUERIES):
+        own = rows[i : i + QUERIES]
+        sims = a[own] @ b.T
+        linked[own] = sims >= least
+        q, x = np.nonzero(np.abs(sims - least) < 1e-9)
+        linked[own[q], x] = verified(a, b, own[q], x, least)
+
+
+def united(linked: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of a matrix of links: the smallest id reachable. Each row is read once."""
+    back = linked if same else np.ascontiguousarray(linked.T)
+    a_root = a_ids.copy()
+    b_root = a_root if same else b_ids.copy()
+    todo = linked.any(axis=1)
+    for i in np.flatnonzero(todo):
+        if not todo[i]:
+            continue
+        in_a, in_b, front = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool), np.array([i])
+        in_a[i] = True
+        while len(front):
+            new = linked[front].any(axis=0) & ~in_b
+            in_b |= new
+            new = back[np.flatnonzero(new)].any(axis=0) & ~in_a
+            in_a |= new
+            front = np.flatnonzero(new)
+        todo[in_a | in_b if same else in_a] = False
+        low = min(a_ids[in_a].min(), b_ids[in_b].min())
+        a_root[in_a], b_root[in_b] = low, low
+    return a_root, b_root
+
+
 def index(vectors: DataFrame) -> DataFrame:
     """(label, shard, ids, vectors, graph): a row for each shard, its graph built in one task."""
     size = vectors.groupBy("label").agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
@@ -199,31 +240,35 @@ def links(shards: DataFrame, similarity: float, recall: float) -> DataFrame:
     """(vec_id, n_links, root, audited, hit) of vectors with links in a unit, a pair of shards of one label."""
 
     def unit_rows(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, graph: Graph, same: bool) -> pa.RecordBatch:
-        queries, n = a.astype(np.float32), len(a_ids)
+        queries = a.astype(np.float32)
         drawn = np.argsort(mix64(a_ids.view(np.uint64)), kind="stable")[:AUDIT]
-        near = a[drawn] @ b.T >= similarity
+        near = np.zeros((len(a), len(b)), bool)
+        scan(a, b, drawn, similarity, near)
+        near = near[drawn]
         if same:
             near[np.arange(len(drawn)), drawn] = False
         width, wanted = BEAM, int(near.sum())
         while True:
-            q, x = graph.near(queries, similarity, width)
-            good = np.einsum("nd,nd->n", a[q], b[x]) >= similarity if len(q) else np.zeros(0, bool)
+            # A bit for each pair of a unit: its size is that of two shards, whatever the groups.
+            linked = np.zeros((len(a), len(b)), bool)
+            if width >= SCAN:
+                scan(a, b, np.arange(len(a)), similarity, linked)
+            else:
+                for q, x, full in graph.near(queries, similarity, width):
+                    good = verified(a, b, q, x, similarity)
+                    linked[q[good], x[good]] = True
+                    scan(a, b, full, similarity, linked)
             if same:
-                good &= q != x
-            q, x = q[good], x[good]
-            code = np.unique(np.concatenate([q * len(b) + x, x * len(b) + q]) if same else q * len(b) + x)
-            q, x = code // len(b), code % len(b)
-            got = int(np.isin(np.repeat(drawn, near.sum(1)) * len(b) + np.nonzero(near)[1], code).sum()) if wanted else 0
-            if got >= recall * wanted or width >= len(b):
+                linked |= linked.T
+                np.fill_diagonal(linked, False)
+            got = int((near & linked[drawn]).sum())
+            if got >= recall * wanted or width >= SCAN:
                 break
             width *= 4
-        ids = a_ids if same else np.concatenate([a_ids, b_ids])
-        order = np.argsort(ids, kind="stable")
-        rank = np.empty(len(ids), dtype=np.int64)
-        rank[order] = np.arange(len(ids))
-        other = x if same else x + n
-        root = ids[order][forest_roots(len(ids), rank[q], rank[other])][rank]
-        count = np.bincount(q, minlength=len(ids)) + (0 if same else np.bincount(other, minlength=len(ids)))
+        a_root, b_root = united(linked, a_ids, b_ids, same)
+        ids, root, count = a_ids, a_root, linked.sum(axis=1)
+        if not same:
+            ids, root, count = np.concatenate([a_ids, b_ids]), np.concatenate([a_root, b_root]), np.concatenate([count, linked.sum(axis=0)])
         own = count > 0
         audited, hit = np.zeros(own.sum(), np.int64), np.zeros(own.sum(), np.int64)
         if own.any():
@@ -264,8 +309,8 @@ def near_vectors(df: DataFrame, similarity: float = SIMILARITY, recall: float =
     shards = materialise(index(own), "hnsw-shards")
     seen = materialise(links(shards, similarity, recall), "hnsw-links")
     counts = seen.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    united = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "vec_id", "component": "component_id"})
-    out = ids.join(counts.hint("merge"), "vec_id", "left").join(united.hint("merge"), "vec_id", "left")
+    groups = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "vec_id", "component": "component_id"})
+    out = ids.join(counts.hint("merge"), "vec_id", "left").join(groups.hint("merge"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
