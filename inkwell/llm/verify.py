@@ -18,6 +18,8 @@ from .common import forest_roots, key_groups
 from .shingles import text_sets
 
 BLOCK = 512
+#: Units of fewer members are compared several at a time, up to so many members together.
+BUNDLE = 128
 #: Columns of the incidence matrix multiplied at once.
 WIDTH = 4096
 
@@ -59,10 +61,9 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
     1 where one that stands before is among them; root: the smallest member in reach within the unit.
     """
 
-    def unit(t: pa.Table) -> pa.RecordBatch | None:
+    def bundle(t: pa.Table, unit: np.ndarray) -> pa.RecordBatch | None:
         n = len(t)
-        member, copies, block = (t.column(c).to_numpy() for c in ("member", "copies", "block"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        member, copies, block, i, j = (t.column(c).to_numpy() for c in ("member", "copies", "block", "i", "j"))
         rows, tokens = [], []
         for first, _, r, h in text_sets(pa.chunked_array(t.column("text")).combine_chunks() if t.column("text").num_chunks > 1 else t.column("text").chunk(0)):
             rows.append(r + first)
@@ -71,10 +72,10 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
         size = np.bincount(row, minlength=n).astype(np.float32)
         both = overlaps(row, token, n)
         linked = both >= np.float32(least) * (size[:, None] + size[None, :] - both) - np.float32(1e-3)
-        linked &= both > 0
+        linked &= (both > 0) & (unit[:, None] == unit[None, :])
         np.fill_diagonal(linked, False)
-        if i != j:  # pairs inside a block belong to the unit of that block alone
-            linked &= block[:, None] != block[None, :]
+        # Pairs inside a block belong to the unit of that block alone.
+        linked &= (i == j)[:, None] | (block[:, None] != block[None, :])
         if not linked.any():
             return None
         a, b = np.nonzero(linked)
@@ -93,9 +94,13 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, bounds in key_groups(batches, ["component", "i", "j"]):
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                if b - a > 1 and (out := unit(t.slice(a, b - a))) is not None:
+            unit, x = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), 0
+            while x < len(bounds) - 1:
+                y = max(x + 1, int(np.searchsorted(bounds, bounds[x] + BUNDLE, "right")) - 1)
+                a, b = int(bounds[x]), int(bounds[y])
+                if b - a > 1 and (out := bundle(t.slice(a, b - a), unit[a:b])) is not None:
                     yield out
+                x = y
 
     keys = ["component", "i", "j"]
     dealt = units.select(*keys, "block", "member", "copies", "text", *(["o1", "o2"] if earlier else [])).repartition(*keys).sortWithinPartitions(*keys)
