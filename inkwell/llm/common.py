@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids below this count (8 bytes each, so 8 MB) may be broadcast; more are joined by shuffle.
+#: Up to so many ids and entries of their lists (16 bytes at most, so 16 MB) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 
 
@@ -54,10 +54,11 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left")
     return left.join(right.hint("merge"), on, how)
 
 
-def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """df joined to ids (one row for each key). The ids are counted first: few enough are
-    broadcast, more are joined by shuffle; the rows are the same."""
-    few = ids.count() <= BROADCAST_IDS
+def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner", lists: str | None = None) -> DataFrame:
+    """df joined to ids (one row for each key). The ids, and the entries of their column `lists` if
+    there is one, are counted first: few enough are broadcast, more are joined by shuffle; the rows are the same."""
+    n = F.sum(1 + F.size(lists)) if lists else F.count("*")
+    few = (ids.agg(n).first()[0] or 0) <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
