@@ -1,40 +1,124 @@
 """Quotation linking: conversations in reply order, without their quotes.
 
-A line's quote level is its number of leading > signs. Quoted lines are hashed after lower-casing
-and collapsing of white space, and joined to the message of the conversation that first had the
-line as its own. A message replies to the latest of the messages its outermost linked quotes come from.
+A line's quote level is its number of leading > signs. Consecutive lines of one level are a passage, of
+which only the words count, so that rewrapping changes nothing. The hashes of its windows of WORDS words
+(a shorter passage is one window) are joined to those at every word of the own texts of the conversation's
+earlier messages. It comes from the message with the most of its windows in line, of equals the first. A passage
+of fewer than FREE words needs to be a whole line there. A message replies to the latest of the messages its
+outermost linked quotes come from.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import lookup, materialise, mix64
 
 MARKS = r"^([ \t]*>)+"
+WORDS, FREE = 8, 3
 #: A line that announces a quote, in a message that has one.
 ANNOUNCES = r"(?i)^\s*(on|am|le|el) .{1,200}(wrote|schrieb|écrit|escribió)\s?:\s*$"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """messages with lines: array<struct<level, body, hash>>; a blank body has a null hash."""
+    """messages with lines: array<struct<level, body>>."""
     level = "length(translate(regexp_extract(l, '{0}', 0), ' \\t', ''))".format(MARKS.replace("\\", "\\\\"))
     body = "trim(BOTH ' \\t\\r' FROM regexp_replace(l, '{0}', ''))".format(MARKS.replace("\\", "\\\\"))
-    lines = F.expr(f"transform(split(coalesce(text, ''), '\\n'), l -> named_struct('level', {level}, 'body', IF({level} > 0, {body}, l)))")
-    hashed = F.transform(lines, lambda x: F.struct(x["level"].alias("level"), x["body"].alias("body"), F.when(F.trim(x["body"]) != "", F.xxhash64(F.lower(F.regexp_replace(F.trim(x["body"]), r"\s+", " ")))).alias("hash")))
-    return messages.withColumn("lines", hashed)
+    return messages.withColumn("lines", F.expr(f"transform(split(coalesce(text, ''), '\\n'), l -> named_struct('level', {level}, 'body', IF({level} > 0, {body}, l)))"))
+
+
+def codes(text: str) -> list[int]:
+    """A hash for each word of a text, lower-cased."""
+    return [int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "little") for w in text.lower().split()]
+
+
+def windows(words: np.ndarray, k: int) -> np.ndarray:
+    """A hash for each run of k words."""
+    n = len(words) - k + 1
+    h = np.zeros(max(n, 0), np.uint64)
+    for j in range(k if n > 0 else 0):
+        h = mix64(h + words[j : j + n])
+    return h.view(np.int64)
+
+
+def passages(text: str) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.ndarray]:
+    """Of a text: level and words of each quoted passage; its own words; the places where its own lines begin."""
+    quoted: list[tuple[int, list[int]]] = []
+    own, starts, was = [], [0], 0
+    for line in text.split("\n"):
+        m = re.match(MARKS, line)
+        level = m.group(0).count(">") if m else 0
+        found = codes(line[m.end() :] if m else line)
+        if not level:
+            own += found
+            starts.append(len(own))
+        elif level == was:
+            quoted[-1][1].extend(found)
+        else:
+            quoted.append((level, found))
+        was = level
+    return [(lv, np.array(w, np.uint64)) for lv, w in quoted if w], np.array(own, np.uint64), np.array(starts)
+
+
+def quoted_windows(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, passage, k, at, hash) of every window of k words of the quoted passages."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for level, own in passages(text)[0]:
+                    k, passage = min(WORDS, len(own)), int(windows(own, len(own))[0])
+                    h = windows(own, k)
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(h), t) for v, t in ((conv, pa.int64()), (turn, pa.int64()), (level, pa.int32()), (passage, pa.int64()), (k, pa.int32()))] + [pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["conv_id", "turn", "level", "passage", "k", "at", "hash"])
+
+    return messages.where("text LIKE '%>%'").select("conv_id", "turn", "text").mapInArrow(run, "conv_id long, turn long, level int, passage long, k int, at int, hash long")
+
+
+def own_windows(messages: DataFrame) -> DataFrame:
+    """(conv_id, origin, k, place, hash) of every window of the asked lengths ks of messages (conv_id, turn,
+    text, ks) that aren't quotes; those under FREE words only where they are a whole line."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for conv, turn, text, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                _, own, starts = passages(text or "")
+                for k in ks:
+                    h = windows(own, k)
+                    place = np.arange(len(h))
+                    if k < FREE:
+                        ends = starts[1:][np.diff(starts) == k]
+                        place = ends - k
+                        h = h[place]
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array([v] * len(h), t) for v, t in ((conv, pa.int64()), (turn, pa.int64()), (k, pa.int32()))] + [pa.array(place.astype(np.int32)), pa.array(h)], ["conv_id", "origin", "k", "place", "hash"])
+
+    return messages.select("conv_id", "turn", "text", "ks").mapInArrow(run, "conv_id long, origin long, k int, place int, hash long")
 
 
 def quotations(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash, origin) of every quoted line; origin: the turn that first had it, if earlier, else null."""
-    lines = parsed(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL AND text LIKE '%>%'")).select("conv_id", "turn", F.explode("lines").alias("l"))
-    quoted = materialise(lines.where("l.level > 0 AND l.hash IS NOT NULL").select("conv_id", "turn", "l.level", "l.hash").distinct(), "quotes")
-    own = parsed(messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")).select("conv_id", "turn", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: (x["level"] == 0) & x["hash"].isNotNull()), lambda x: x["hash"]))).alias("hash"))
-    # Only lines that someone quotes, combined before the shuffle: one row for each.
-    first = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    found = lookup(quoted, first, ["conv_id", "hash"])
-    return found.withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+    """(conv_id, turn, level, origin) of every quoted passage; origin: the earlier turn it comes from, or null."""
+    messages = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    quoted = materialise(quoted_windows(messages), "quotes")
+    # Only conversations that hold quotes are cut to windows, and each passage of one is looked up once.
+    asked = quoted.groupBy("conv_id").agg(F.collect_set("k").alias("ks"))
+    own = own_windows(lookup(messages, asked, ["conv_id"], "inner"))
+    each = quoted.select("conv_id", "passage", "k", "at", "hash").distinct()
+    met = each.join(own.hint("merge"), ["conv_id", "k", "hash"])
+    runs = met.groupBy("conv_id", "passage", "origin", (F.col("place") - F.col("at")).alias("line")).agg(F.countDistinct("at").alias("run"))
+    # Of equal runs the first message counts: a passage has no more rows than windows, however many messages hold it.
+    best = runs.groupBy("conv_id", "passage", "run").agg(F.min("origin").alias("origin"))
+    uses = quoted.select("conv_id", "turn", "level", "passage").distinct()
+    best = best.groupBy("conv_id", "passage").agg(F.collect_list(F.struct("run", (-F.col("origin")).alias("back"))).alias("found"))
+    found = lookup(uses, best, ["conv_id", "passage"])
+    earlier = F.filter("found", lambda x: -x["back"] < F.col("turn"))
+    return found.select("conv_id", "turn", "level", (-F.array_max(earlier)["back"]).alias("origin"))
 
 
 def threads(links: DataFrame) -> DataFrame:

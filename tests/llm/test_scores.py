@@ -136,3 +136,15 @@ def test_byte_equal_images_without_corners(spark):
     rows = [(1, 8, 8, bytes(64)), (2, 8, 8, bytes(64)), (3, 4, 16, bytes(64)), (4, 64, 64, bytes(4096)), (5, 64, 64, bytes(4096)), (6, 64, 64, b"x" * 4096), (7, 8, 8, None), (8, 8, 8, None)]
     df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
     assert {r.image_id: (r.group_id, r.n_links) for r in copies(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
+
+
+def test_rewrapped_and_partial_quotes(spark):
+    long = "We moved the whole index to the new store last week and nobody has noticed any change since then, which I count as a success for all of us."
+    other = "We moved the whole index to the new store but then it failed."
+    wrapped = "> We moved the whole index\n> to the NEW store last week and\n>   nobody has noticed any change"
+    rows = [(1, 0, "u", other + "\nok then"), (1, 1, "a", long), (1, 2, "u", wrapped + "\nGood"), (1, 3, "a", "> > to the new store last\n> > week and nobody has noticed\n> Good\nFine"), (1, 4, "u", "> count as a success\nyes"), (1, 5, "a", "> ok\nno"),
+            *((2, i, "u", (wrapped + "\n" if i % 2 else long + "\n") + f"own {i}") for i in range(300)), (3, 1, "a", wrapped), (3, 2, "u", long)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {(r.conv_id, r.turn): (r.body, r.reply_to, r.n_quotes, r.n_linked) for r in reply_order(df).collect()}
+    assert [out[1, i] for i in range(2, 6)] == [("Good", 1, 1, 1), ("Fine", 2, 2, 2), ("yes", 1, 1, 1), ("no", None, 1, 0)]
+    assert all(out[2, i] == (f"own {i}", 0, 1, 1) for i in range(1, 300, 2)) and out[3, 1][1:] == (None, 1, 0)
