@@ -14,12 +14,13 @@ import json
 import sys
 import unicodedata
 from array import array
-from functools import lru_cache
 
 import ahocorasick
 import numpy as np
 import regex
 
+from .common import hold
+
 INF = sys.maxsize
 
 
@@ -151,7 +152,7 @@ class WordBPE:
     """The tokenizer of a .json file of the tokenizers library with word ends: NFC, white space to one
     blank, lower case; words by a pattern; bytes; merges. Special strings in a text become their ids."""
 
-    def __init__(self, path: str, words_kept: int = 200_000):
+    def __init__(self, path: str, words_kept: int = 100_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -204,7 +205,7 @@ class WordBPE:
     def encode_bytes(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
         out, get, word = [], self.kept.get, self.word
-        for piece in self.split.split(text or "") if "<|" in (text or "") else (text or "",):
+        for piece in self.split.split(text or "") if any(map((text or "").__contains__, self.special)) else (text or "",):
             if piece in self.special:
                 out.append(self.special[piece].to_bytes(4, "little"))
             elif piece:
@@ -234,7 +235,7 @@ class PieceBPE:
 
     MARK = "▁"
 
-    def __init__(self, path: str, words_kept: int = 200_000):
+    def __init__(self, path: str, words_kept: int = 100_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -332,11 +333,9 @@ class PieceMerges(Merges):
         return a + b if a + b in self.ranks else None
 
 
-@lru_cache(4)
 def word_bpe(path: str) -> WordBPE:
-    return WordBPE(path)
+    return hold(f"word {path}", lambda: WordBPE(path))
 
 
-@lru_cache(4)
 def piece_bpe(path: str) -> PieceBPE:
-    return PieceBPE(path)
+    return hold(f"piece {path}", lambda: PieceBPE(path))

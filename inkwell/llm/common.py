@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Up to so many ids and entries of their lists (16 bytes at most, so 16 MB) may be broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Up to so many ids and entries of their lists (16 bytes at most, so 4 MB) may be broadcast; more are joined by shuffle.
+BROADCAST_IDS = 250_000
 
 
 #: Rows of an Arrow batch where the session has Spark's default, 10,000: whole texts are long, and a
@@ -28,14 +30,54 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only where the session names none (tests) a local one is set."""
+    """The folder all machines share, spark.checkpoint.dir. Only a session of one machine that names none (tests) gets
+    a local one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         base = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialise() made and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        own = f"{shared_dir(spark)}/inkwell/".split("://")[-1].lstrip("/")
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if own in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_held: dict[str, object] = {}
+
+
+def hold(name: str | None = None, make: Callable[[], object] | None = None) -> object:
+    """Of a Python worker, which serves one task after the other: the object of this name, made on first use. A worker holds one
+    such object at a time; tasks that need none call hold(), so that nothing of other operators stays in their memory."""
+    if name is None or name not in _held:
+        if _held:
+            _held.clear()
+            give_back()
+        if name is not None:
+            _held[name] = make()
+    return _held.get(name)
+
+
+def give_back() -> None:
+    """Returns the memory that Python, Arrow and malloc keep for later to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
 
@@ -136,11 +178,13 @@ def components(edges: DataFrame) -> DataFrame:
     No component is ever gathered in a task: each step handles single edges.
     """
 
-    def step(e: DataFrame, both: bool, name: str) -> DataFrame:
+    def step(e: DataFrame, both: bool) -> DataFrame:
         d = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if both:
             d = d.union(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = d.groupBy("u").agg(F.min("v").alias("m"))
+        # Written first, so that adaptive execution can split a large node's rows in the join.
+        low = materialise(d.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
+        lows.append(low)
         d = lookup(d, low.select("u", F.least("u", "m").alias("m")), ["u"], "inner")
         if both:
             out = d.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -152,11 +196,14 @@ def components(edges: DataFrame) -> DataFrame:
         h = F.xxhash64("a", "b")
         return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
+    lows: list[DataFrame] = []
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "cc-nodes")
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     was = print_of(e)
     while was[0]:
-        e = materialise(step(step(e, True, "large"), False, "small"), "cc-step")
+        last, e = e, materialise(step(step(e, True), False), "cc-step")
+        discard(last, *lows)
+        lows.clear()
         now = print_of(e)
         if now == was:
             break
