@@ -1,7 +1,6 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from inkwell.llm.images import AGREE, agreeing, between, blur, copies, features, picture
 from inkwell.llm.mixing import cell_weights, mix
 from inkwell.llm.quotes import reply_order
 from inkwell.llm.toxicity import fit, fit_ordinal, score, severity_grades
@@ -88,56 +87,6 @@ def test_long_reply_chains(spark):
     assert [(r.turn, r.reply_to, r.thread, r.depth) for r in reply_order(df).collect()] == [(i, i - 1 if i else None, 0, i) for i in range(70)]
 
 
-def test_image_copies(spark):
-    rows = [(4 * k + v, *picture(4 * k + v, "page").shape, picture(4 * k + v, "page").tobytes()) for k in range(12) for v in range(4)]
-    rows += [(1000, 64, 64, rows[0][3]), (1001, 64, 64, None), (1002, 64, 64, b"short"), (1003, 8, 8, bytes(64)), (None, 64, 64, rows[0][3])]
-    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
-    got = {r.image_id: (r.group_id, r.n_links) for r in copies(df).collect()}
-    assert len(got) == len(rows)
-    good = sum(got[4 * k + v][0] == 4 * k for k in range(12) for v in range(3))
-    assert good >= 33
-    assert all(got[4 * k + 3] == (4 * k + 3, 0) for k in range(12))
-    assert got[1000][0] == 0 and all(got[i] == (i, 0) for i in (1001, 1002, 1003)) and got[None] == (None, 0)
-    assert copies(df.limit(0)).collect() == []
-
-
-def test_turned_image_agrees():
-    m = picture(40, "x")
-    (a, da), (b, db) = features(np.stack([m, np.rot90(m)]))
-    assert agreeing(a, da, b, db) >= AGREE
-
-
-def placed(m, turn, zoom):
-    """The image turned and rescaled about its middle, bilinear."""
-    n = int(len(m) * zoom)
-    y, x = np.mgrid[:n, :n] - n / 2
-    y, x = ((y * np.cos(turn) + x * np.sin(turn)) / zoom + len(m) / 2, (x * np.cos(turn) - y * np.sin(turn)) / zoom + len(m) / 2)
-    y, x = np.clip(y, 0, len(m) - 1.01), np.clip(x, 0, len(m) - 1.01)
-    return between(m[None].astype(float), np.zeros((n, n), int), y, x)
-
-
-def test_recall_of_edited_images(spark):
-    rng = np.random.default_rng(0)
-    edits = {
-        "crop": (lambda m: m[5:41, 9:45], 0.9), "noise": (lambda m: m + rng.normal(0, 8, m.shape), 0.9), "blur": (lambda m: blur(m[None].astype(float))[0], 0.9),
-        "turn": (lambda m: placed(m, 0.35, 1), 0.8), "enlarged": (lambda m: placed(m, 0, 1.5), 0.9), "a quarter larger": (lambda m: placed(m, 0, 1.25), 0.8), "a fifth smaller": (lambda m: placed(m, 0, 0.8), 0.6),
-    }
-    scenes = [picture(4 * k, "page") for k in range(40)]
-    own = [(100 * k + e, m if not e else np.clip(list(edits.values())[e - 1][0](m), 0, 255).astype(np.uint8)) for k, m in enumerate(scenes) for e in range(len(edits) + 1)]
-    df = spark.createDataFrame([(i, *m.shape, m.tobytes()) for i, m in own], "image_id long, height int, width int, pixels binary")
-    group = {r.image_id: r.group_id for r in copies(df).collect()}
-    assert all(g // 100 == i // 100 for i, g in group.items())
-    found = {name: sum(group[100 * k + e] == 100 * k for k in range(40)) / 40 for e, name in enumerate(edits, 1)}
-    print(found)
-    assert all(found[name] >= least for name, (_, least) in edits.items()), found
-
-
-def test_byte_equal_images_without_corners(spark):
-    rows = [(1, 8, 8, bytes(64)), (2, 8, 8, bytes(64)), (3, 4, 16, bytes(64)), (4, 64, 64, bytes(4096)), (5, 64, 64, bytes(4096)), (6, 64, 64, b"x" * 4096), (7, 8, 8, None), (8, 8, 8, None)]
-    df = spark.createDataFrame(rows, "image_id long, height int, width int, pixels binary")
-    assert {r.image_id: (r.group_id, r.n_links) for r in copies(df).collect()} == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 1), 5: (4, 1), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
-
-
 def test_rewrapped_and_partial_quotes(spark):
     long = "We moved the whole index to the new store last week and nobody has noticed any change since then, which I count as a success for all of us."
     other = "We moved the whole index to the new store but then it failed."
