@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forest_roots, key_groups
+from .common import forest_roots, hold, key_groups, materialise
 from .shingles import text_sets
 
 BLOCK = 512
@@ -46,7 +46,8 @@ def block_pairs(members: DataFrame, component: str = "component", member: str =
 
     The number of blocks follows the component's size, so a unit has about two blocks of rows at most.
     """
-    size = members.groupBy(component).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    # Written first, so that adaptive execution can split a large component's rows in the join.
+    size = materialise(members.groupBy(component).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
     own = members.join(size.hint("merge"), component)
     own = own.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -93,6 +94,7 @@ def verified(units: DataFrame, least: float, earlier: bool = False) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(member[own]), pa.array(links[own].astype(np.int64)), pa.array(root[own])], ["member", "links", "root"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for t, bounds in key_groups(batches, ["component", "i", "j"]):
             unit, x = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), 0
             while x < len(bounds) - 1:
