@@ -4,13 +4,14 @@ Every text is its set of five-word shingles. Equal sets are one class. Each run
 classes recursively: a path draws min-hash coordinates at random, each with probability
 1 / (similarity x coordinates), and goes on in a bucket for each value found there. A small
 bucket is compared by brute force; in a large one chunks are, and what a chunk finds alike
-goes on as one. Runs are repeated until a sample of texts, compared with all others by brute
-force, shows the target recall. Candidates only join components; the links inside a component
+goes on as one. Runs are repeated until samples of texts, compared with all others by brute
+force, show the target recall. Candidates only join components; the links inside a component
 are then all counted exactly.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,16 +19,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, forest_roots, key_groups, lookup, materialise, mix64, small_batches, with_ids
+from .common import components, discard, forest_roots, hold, key_groups, lookup, materialise, mix64, small_batches, with_ids
 from .shingles import runs, text_sets
 from .verify import block_pairs, verified
 
+log = logging.getLogger(__name__)
+
 SIMILARITY = 0.8
 COORDINATES = 64
 BUCKET = 256
 RUNS = 12
 RECALL = 0.99
 AUDIT = 200
+#: Audited links from which their recall says enough.
+ENOUGH = 100
 #: Part of equal coordinates from which two classes are candidates: six standard deviations below SIMILARITY.
 ALIKE = 0.5
 
@@ -40,6 +45,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     min-hashes, four bytes each. Of an id's texts the one with the smallest xxhash64 counts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             for first, rows, row, h in text_sets(batch.column(1)):
                 own, at = runs(row)
@@ -104,6 +110,7 @@ def level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
     next level (kind 1: path a, node b, run)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for t, bounds in key_groups(batches, ["path", "chunk"]):
             node, path, r, large = (t.column(c).to_numpy() for c in ("node", "path", "run", "large"))
             sig = as_matrix(t.column("sig"))
@@ -125,7 +132,8 @@ def level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
                     runs.append(np.full(len(node_on), r[x], np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (kind, a, b, runs)], ["kind", "a", "b", "run"])
 
-    size = rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1")
+    # Written first, so that adaptive execution can split a large bucket's rows in the join.
+    size = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
     rows = lookup(rows, size, ["path"], "inner")
     chunks = F.ceil(F.col("size") / BUCKET)
     rows = rows.select("path", "run", "node", (F.col("size") > BUCKET).alias("large"), F.pmod(F.xxhash64("node", "run"), chunks).cast("int").alias("chunk"))
@@ -135,29 +143,32 @@ def level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
 
 def candidates(classes: DataFrame, runs: range, similarity: float) -> DataFrame:
     """Candidate links (a, b) of the runs, a spanning forest for each bucket."""
-    rows, found = first_level(classes, runs, similarity), None
+    rows, found, levels = first_level(classes, runs, similarity), None, []
     while True:
         out = materialise(level(rows, classes, similarity), "path-level")
+        levels.append(out)
         links = out.where("kind = 0").select("a", "b")
         found = links if found is None else found.unionByName(links)
         rows = out.where("kind = 1").select(F.col("a").alias("path"), "run", F.col("b").alias("node"))
         if rows.isEmpty():
-            return found.distinct()
+            found = materialise(found.distinct(), "path-found")
+            discard(*levels)
+            return found
 
 
-def audit(docs: DataFrame, classes: DataFrame, similarity: float) -> list[tuple[int, int]]:
-    """All links of AUDIT classes, drawn by hash, found by comparing each with every class."""
+def audit(docs: DataFrame, classes: DataFrame, drawn: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all links of the drawn classes b (rep; AUDIT at most), found by comparing each with every class."""
     spark = docs.sparkSession
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(AUDIT).select("rep")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(F.broadcast(drawn), "rep").dropDuplicates(["rep"]).toArrow()
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(drawn), "rep").groupBy("rep").agg(F.min_by("text", F.xxhash64("text")).alias("text")).toArrow()
     if not len(texts):
-        return []
+        return spark.createDataFrame([], "a long, b long")
     parts = [(h, r + first) for first, _, r, h in text_sets(texts.column("text").combine_chunks())]
     token, row = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
     order = np.argsort(token, kind="stable")
     sent = spark.sparkContext.broadcast((token[order], row[order], np.bincount(row, minlength=len(texts)), texts.column("rep").to_numpy()))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         token, row, size, rep = sent.value
         bits = np.zeros(1 << 20, dtype=bool)
         bits[token & np.uint64((1 << 20) - 1)] = True
@@ -177,10 +188,40 @@ def audit(docs: DataFrame, classes: DataFrame, similarity: float) -> list[tuple[
                 a, b = batch.column(0).slice(first, rows).to_numpy()[x[own]], rep[y[own]]
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    # Only the audited classes' own links come to the driver, each class once.
-    links = whole.mapInArrow(run, "a long, b long").join(classes.select(F.col("rep").alias("a")), "a", "left_semi").where("a <> b").distinct()
-    return [tuple(x) for x in links.collect()]
+    whole = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    # Each class once: links to the others of a class of equal sets say nothing of the search.
+    return whole.mapInArrow(run, "a long, b long").join(classes.select(F.col("rep").alias("a")), "a", "left_semi").where("a <> b").distinct()
+
+
+def measured(known: DataFrame, groups: DataFrame) -> tuple[int, int]:
+    """Of the known links how many there are, and how many the components of candidates hold."""
+    side = lambda x: groups.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")).hint("merge")
+    both = known.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return tuple(both.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first())
+
+
+def connected(classes: DataFrame, docs: DataFrame, similarity: float, recall: float, runs: int) -> DataFrame:
+    """(node, component) of the classes that runs of chosen paths join.
+
+    The audit's classes are AUDIT of all, drawn by hash, and AUDIT of those that the first runs found a
+    candidate for, as most others have no link. Runs go on until the part of the audited links that
+    they hold is the recall; where those are under ENOUGH, until further runs join no components.
+    """
+    drawn = classes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(AUDIT)
+    known, found, done, was = None, None, 0, None
+    while True:
+        new = candidates(classes, range(done, done + runs), similarity)
+        found, done = new if found is None else found.unionByName(new), done + runs
+        groups = materialise(components(found), "path-groups")
+        if known is None:
+            linked = groups.where("node <> component").select(F.col("node").alias("rep")).orderBy(F.xxhash64("rep"), "rep").limit(AUDIT)
+            known = materialise(audit(docs, classes, drawn.union(linked).distinct(), similarity), "path-known")
+        n, hit = measured(known, groups)
+        joined = groups.where("node <> component").count()
+        log.info("chosen paths: %d runs hold %d of %d audited links, %d classes joined", done, hit, n, joined)
+        if hit >= recall * n and (n >= ENOUGH or joined == was):
+            return groups
+        was = joined
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, runs: int = RUNS) -> DataFrame:
@@ -190,7 +231,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     five-word shingle sets have Jaccard similarity `similarity` or more with this one's; those
     with equal sets are linked. Texts without words, null texts and null ids have no links and
     are their own class (null for a null id). Rows that share a doc_id are one document; of
-    its texts the one with the smallest xxhash64 counts. Other columns are left out.
+    its texts the one with the smallest xxhash64 counts. Ids are integers. Other columns are left out.
     """
     small_batches(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
@@ -200,26 +241,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     own = materialise(own, "path-classes")
     classes = materialise(signed.select(F.col("doc_id").alias("rep"), "sig").join(own.select("rep", "copies").hint("merge"), "rep"), "path-reps")
 
-    known = audit(docs, classes, similarity)
-    found, done = None, 0
-    while True:
-        new = candidates(classes, range(done, done + runs), similarity)
-        found, done = new if found is None else found.unionByName(new), done + runs
-        groups = materialise(components(found), "path-groups")
-        if not known:
-            break
-        nodes = {x for pair in known for x in pair}
-        at = {}
-        if nodes:
-            asked = docs.sparkSession.createDataFrame([(int(x),) for x in nodes], "node long")
-            at = {r.node: r.component for r in groups.join(F.broadcast(asked), "node").collect()}
-        hit = sum(at.get(a, ~a) == at.get(b, ~b) for a, b in known)
-        if hit >= recall * len(known):
-            break
-
+    groups = connected(classes, docs, similarity, recall, runs)
     members = groups.withColumnRenamed("node", "doc_id")
     texts = with_ids(docs, members, "doc_id").groupBy("doc_id", "component").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(own.select(F.col("rep").alias("doc_id"), "copies").hint("merge"), "doc_id")
-    units = block_pairs(texts.withColumnRenamed("doc_id", "member"))
+    units = block_pairs(materialise(texts.withColumnRenamed("doc_id", "member"), "path-members"))
     seen = materialise(verified(units, similarity), "path-links")
     links = seen.groupBy(F.col("member").alias("rep")).agg(F.sum("links").alias("links"))
     classed = components(seen.select(F.col("member").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep", "component": "class_id"})
