@@ -12,6 +12,7 @@ query with the whole shard, whose size is bounded: large groups cost no ever wid
 from __future__ import annotations
 
 import io
+import logging
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise, mix64
+from .common import components, hold, lookup, materialise, mix64
+
+log = logging.getLogger(__name__)
 
 SIMILARITY = 0.98
 SHARD = 4096
 NEIGHBOURS = 16
 BEAM = 48
 RECALL = 0.99
+#: Vectors a unit's audit draws at first; it goes on until so many links are known, or all vectors are drawn.
 AUDIT = 128
+ENOUGH = 64
 QUERIES = 256
 #: Beams of this width or more are slower than comparing the query with its whole shard.
 SCAN = 768
@@ -231,22 +236,27 @@ def index(vectors: DataFrame) -> DataFrame:
         ids = t.column("vec_id").to_numpy()
         raw = np.array(t.column("embedding").to_pylist(), dtype=np.float64)
         graph = Graph(unit(raw), ids).pack()
-        return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([key[1].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary()), pa.array([graph], pa.binary())], ["label", "shard", "ids", "vectors", "graph"])
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.string()), pa.array([key[1].as_py()], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary()), pa.array([graph], pa.binary())], ["label", "shard", "ids", "vectors", "graph"])
 
-    return dealt.groupBy("label", "shard").applyInArrow(build, "label long, shard int, ids binary, vectors binary, graph binary")
+    return dealt.groupBy("label", "shard").applyInArrow(build, "label string, shard int, ids binary, vectors binary, graph binary")
 
 
 def links(shards: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """(vec_id, n_links, root, audited, hit) of vectors with links in a unit, a pair of shards of one label."""
+    """(vec_id, n_links, root) of vectors with links in a unit, a pair of shards of one label, and for each unit a row
+    (audited, hit) of how many links its audit knows and how many of them were found."""
+    names = ["vec_id", "n_links", "root", "audited", "hit"]
 
-    def unit_rows(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, graph: Graph, same: bool) -> pa.RecordBatch:
+    def unit_rows(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, graph: Graph, same: bool) -> tuple[pa.RecordBatch, pa.RecordBatch]:
         queries = a.astype(np.float32)
-        drawn = np.argsort(mix64(a_ids.view(np.uint64)), kind="stable")[:AUDIT]
-        near = np.zeros((len(a), len(b)), bool)
-        scan(a, b, drawn, similarity, near)
+        # More vectors are drawn until enough links are known, at most all.
+        order, near, n = np.argsort(mix64(a_ids.view(np.uint64)), kind="stable"), np.zeros((len(a), len(b)), bool), 0
+        while n < len(a) and near.sum() < ENOUGH:
+            n, was = min(len(a), max(AUDIT, 4 * n)), n
+            scan(a, b, order[was:n], similarity, near)
+            if same:
+                np.fill_diagonal(near, False)
+        drawn = order[:n]
         near = near[drawn]
-        if same:
-            near[np.arange(len(drawn)), drawn] = False
         width, wanted = BEAM, int(near.sum())
         while True:
             # A bit for each pair of a unit: its size is that of two shards, whatever the groups.
@@ -269,19 +279,19 @@ def links(shards: DataFrame, similarity: float, recall: float) -> DataFrame:
         ids, root, count = a_ids, a_root, linked.sum(axis=1)
         if not same:
             ids, root, count = np.concatenate([a_ids, b_ids]), np.concatenate([a_root, b_root]), np.concatenate([count, linked.sum(axis=0)])
-        own = count > 0
-        audited, hit = np.zeros(own.sum(), np.int64), np.zeros(own.sum(), np.int64)
-        if own.any():
-            audited[0], hit[0] = wanted, got
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[own], count[own].astype(np.int64), root[own], audited, hit)], ["vec_id", "n_links", "root", "audited", "hit"])
+        # A last row has the unit's audit.
+        own, none = count > 0, pa.nulls(1, pa.int64())
+        rows = pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[own], count[own].astype(np.int64), root[own])] + [pa.nulls(int(own.sum()), pa.int64())] * 2, names)
+        return rows, pa.RecordBatch.from_arrays([none, none, none, pa.array([wanted]), pa.array([got])], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             for r in batch.to_pylist():
                 a_ids, b_ids = (np.frombuffer(r[k], dtype=np.int64) for k in ("a_ids", "b_ids"))
                 a, b = (unit(np.frombuffer(r[k], dtype=np.float64).reshape(len(i), -1)) for k, i in (("a_vectors", a_ids), ("b_vectors", b_ids)))
                 if a.shape[1] == b.shape[1]:
-                    yield unit_rows(a_ids, a, b_ids, b, Graph.unpack(b, r["graph"]), r["a"] == r["b"])
+                    yield from unit_rows(a_ids, a, b_ids, b, Graph.unpack(b, r["graph"]), r["a"] == r["b"])
 
     keys = shards.select("label", F.col("shard").alias("b"))
     pairs = shards.select("label", F.col("shard").alias("a")).join(keys.hint("merge"), "label").where("a <= b")
@@ -294,20 +304,22 @@ def links(shards: DataFrame, similarity: float, recall: float) -> DataFrame:
 def near_vectors(df: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of df (vec_id, embedding, label).
 
-    Vectors link only inside a label that isn't null, and only to vectors of their own length.
+    Ids are integers, labels of any atomic type. Vectors link only inside a label that isn't null, and only to vectors of their own length.
     Null, empty or zero vectors and those with null, NaN or infinite components link with none.
     Rows that repeat a vec_id are one vector: of its rows that may link, the one of the
     smallest label and then embedding counts. A null vec_id has no links and a null component.
     """
     ids = df.select(F.col("vec_id").cast("long").alias("vec_id"))
-    own = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    own = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     own = own.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~odd & F.exists("embedding", lambda x: x != 0))
     own = own.groupBy("vec_id").agg(F.min(F.struct("label", F.size("embedding").alias("size"), "embedding")).alias("x")).select("vec_id", "x.*")
-    # Labels and lengths together are one label here, a hash of both.
-    own = own.select("vec_id", F.xxhash64("label", "size").alias("label"), "embedding")
+    # Labels and lengths together are one label here.
+    own = own.select("vec_id", F.concat_ws(" ", "size", "label").alias("label"), "embedding")
     shards = materialise(index(own), "hnsw-shards")
     seen = materialise(links(shards, similarity, recall), "hnsw-links")
+    log.info("hnsw: of %s audited links %s were found", *seen.agg(F.sum("audited"), F.sum("hit")).first())
+    seen = seen.where("vec_id IS NOT NULL")
     counts = seen.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
     groups = components(seen.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "vec_id", "component": "component_id"})
     out = ids.join(counts.hint("merge"), "vec_id", "left").join(groups.hint("merge"), "vec_id", "left")
