@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches
+from .common import discard, hold, materialise, small_batches, with_ids
 
 #: Labelled documents the model is fitted on at most, those of the smallest hashes; features it has weights for at most.
 SAMPLE = 20_000
@@ -103,8 +103,8 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, x: np.ndarray, grade: np.ndarr
 
 
 def severity_grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a poor one. Labels
-    without toxicity are left out; of repeated ones the gravest counts; a null quality is a good one."""
+    """(doc_id, grade): 0 not toxic, 1 toxic in a text of good quality, 2 toxic in a poor one: a stand-in, as the
+    labels grade no severity; fit() takes grades of any other source. Labels without toxicity are left out; of repeated ones the gravest counts; a null quality is a good one."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") > 0, F.when(F.col("quality") == 0, 2).otherwise(1))
     return labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
 
@@ -112,36 +112,48 @@ def severity_grades(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, features: int = FEATURES) -> Model:
     """The model for docs (doc_id, text) with grades (doc_id, grade), ascending from 0.
 
-    With one grade or none in the sample nothing is told apart: every document has that grade.
+    Ids are integers. Labels of documents that docs lacks are left out. With one grade or none in the sample nothing is told apart: every document has that grade.
     """
     small_batches(docs.sparkSession)
-    drawn = grades.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A few texts at a time: their features take much more memory than they.
-        for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
-            own = [Counter(f for w in words(t) for f in features_of(w)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([[*c.items()] for c in own], pa.map_(pa.string(), pa.int32()))], ["doc_id", "grade", "features"])
-
-    # The sample is bounded, so it is sent to the documents rather than they to it.
+    # Only labels of documents there are count for the sample, which is bounded, so it is sent to the documents.
+    there = with_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id")), grades, "doc_id").distinct()
+    drawn = there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
-    labelled = materialise(labelled.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, features map<string,int>"), "toxicity-sample")
+    labelled = materialise(labelled.select("grade", "text"), "toxicity-sample")
     total, harmful, top = labelled.agg(F.count("*"), F.coalesce(F.sum((F.col("grade") > 0).cast("long")), F.lit(0)), F.coalesce(F.max("grade"), F.lit(0))).first()
     if harmful in (0, total):
         return Model({}, np.full(top, -1e9))
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        n, bad = Counter(), Counter()  # a task's part of the bounded sample
+        for batch in batches:
+            for grade, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = {f for w in words(text.as_py()) for f in features_of(w)}
+                n.update(own)
+                if grade:
+                    bad.update(own)
+        yield pa.RecordBatch.from_arrays([pa.array([*n], pa.string()), pa.array([*n.values()], pa.int64()), pa.array([bad[f] for f in n], pa.int64())], ["feature", "n", "bad"])
+
     p = harmful / total
-    by_word = labelled.select((F.col("grade") > 0).cast("long").alias("bad"), F.explode(F.map_keys("features")).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    by_word = labelled.mapInArrow(counted, "feature string, n long, bad long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     off = F.abs(F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
     picked = by_word.where(F.col("n") >= LEAST_DOCS).withColumn("off", off).where(F.col("off") >= LEAST_DEVIATION).orderBy(F.desc("off"), "feature").limit(features)
     vocabulary = sorted(r.feature for r in picked.collect())
     place = {w: i for i, w in enumerate(vocabulary)}
-    # Of the sample only grades and picked features come to the driver; the bounded vocabulary goes to the rows.
-    own = F.map_filter("features", lambda f, _: f.isin(vocabulary)).alias("own")
-    rows = labelled.select("grade", own).select("grade", F.map_keys("own").alias("feature"), F.map_values("own").alias("x")).toArrow()
-    lists, x = rows.column("feature").to_pylist(), rows.column("x").to_pylist()
-    row = np.repeat(np.arange(len(lists)), [len(v or ()) for v in lists])
-    col = np.array([place[w] for v in lists for w in v or ()], dtype=np.int64)
-    value = np.array([n for v in x for n in v or ()], dtype=np.float64)
+
+    def placed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [Counter(place[f] for w in words(t.as_py()) for f in features_of(w) if f in place) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[*c] for c in own], pa.list_(pa.int32())), pa.array([[*c.values()] for c in own], pa.list_(pa.int32()))], ["grade", "col", "x"])
+
+    # Of the sample only grades and places of picked features come to the driver; the bounded vocabulary goes to the rows.
+    rows = labelled.mapInArrow(placed, "grade int, col array<int>, x array<int>").toArrow()
+    discard(labelled)
+    lists, x = rows.column("col").to_pylist(), rows.column("x").to_pylist()
+    row = np.repeat(np.arange(len(lists)), [len(v) for v in lists])
+    col = np.array([i for v in lists for i in v], dtype=np.int64)
+    value = np.array([n for v in x for n in v], dtype=np.float64)
     weights, thresholds = fit_ordinal(row, col, value, rows.column("grade").to_numpy().astype(np.int64), len(vocabulary))
     return Model(dict(zip(vocabulary, weights.tolist(), strict=True)), thresholds)
 
@@ -156,6 +168,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         own = sent.value
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
