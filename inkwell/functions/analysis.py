@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import string
 
 from pyspark.sql import Column
@@ -22,9 +23,17 @@ def whitespace(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, "[ \t\r]+"), lambda x: x != ""))
 
 
+WORD, HAN = r"[a-z0-9]+(?:\.[a-z0-9]+)*", "\u3400-\u4dbf\u4e00-\u9fff"
+
+
 def word(text: Column) -> Column:
-    """Runs of ASCII letters and digits, joined over single dots, in lower case. (Han text has no dictionary here.)"""
-    return F.array_distinct(F.regexp_extract_all(ascii_lower(text), F.lit(r"[a-z0-9]+(?:\.[a-z0-9]+)*"), F.lit(0)))
+    """Runs of ASCII letters and digits, joined over single dots, in lower case; of a run of Han characters each two
+    neighbours (a single one is itself), as no dictionary is at hand."""
+    low = ascii_lower(text)
+    plain = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    runs = F.regexp_extract_all(low, F.lit(f"{WORD}|[{HAN}]+"), F.lit(0))
+    pairs = F.flatten(F.transform(runs, lambda t: F.when(t.rlike(f"^[{HAN}]") & (F.char_length(t) > 1), F.transform(F.sequence(F.lit(1), F.char_length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))).otherwise(F.array(t))))
+    return F.array_distinct(F.when(text.rlike(f"[{HAN}]"), pairs).otherwise(plain))
 
 
 def whole(text: Column) -> Column:
@@ -41,7 +50,7 @@ def suffixes(term: Column, least: int = LEAST_SUFFIX) -> Column:
 
 def split_string(text: Column, by: str) -> Column:
     """Parts between the characters of `by`, without empty ones."""
-    return F.filter(F.split(text, "[" + "".join("\\" + c for c in by) + "]"), lambda x: x != "")
+    return F.filter(F.split(text, "[" + "".join(c if c.isalnum() else "\\" + c for c in by) + "]"), lambda x: x != "")
 
 
 def trim_string(text: Column, of: str = " ") -> Column:
@@ -49,3 +58,16 @@ def trim_string(text: Column, of: str = " ") -> Column:
 
 
 ANALYZERS = {"whitespace": whitespace, "word": word, "whole": whole}
+
+
+def query_terms(text: str, analyzer: str = "word") -> list[str]:
+    """The terms that an analyzer's expression makes of a text, for the few texts of a query."""
+    if analyzer == "whole":
+        found = [text] if text else []
+    elif analyzer == "whitespace":
+        found = [x for x in re.split("[ \t\r]+", text) if x]
+    else:
+        low = text.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+        runs = re.findall(f"{WORD}|[{HAN}]+", low)
+        found = [t for r in runs for t in ([r] if r[0] < "\u3400" or len(r) == 1 else [r[i : i + 2] for i in range(len(r) - 1)])]
+    return list(dict.fromkeys(found))

@@ -10,6 +10,9 @@ from inkwell.functions.analysis import ANALYZERS, suffixes
 from .model import FieldSpec, IndexSpec
 
 
+POSTING = "field string, term_type string, term string, num long, doc_id long"
+
+
 def terms(f: FieldSpec) -> Column:
     """array<struct<field, term_type, term, num>> of a field; empty where it is null."""
     c = F.col(f.name)
@@ -26,6 +29,8 @@ def terms(f: FieldSpec) -> Column:
 def postings(docs: DataFrame, spec: IndexSpec) -> DataFrame:
     """(field, term_type, term, num, doc_id): one scan, no shuffle; of each field its distinct terms."""
     inverted = [terms(f) for f in spec.fields if f.invert]
+    if not inverted:
+        return docs.sparkSession.createDataFrame([], POSTING)
     return docs.select("doc_id", F.explode(F.concat(*inverted)).alias("t")).select("t.*", "doc_id")
 
 

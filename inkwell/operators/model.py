@@ -42,6 +42,10 @@ class IndexSpec:
     def __post_init__(self) -> None:
         object.__setattr__(self, "by_name", {f.name: f for f in self.fields})
 
+    def only(self, names: set[str]) -> IndexSpec:
+        """The fields of these names."""
+        return IndexSpec(tuple(f for f in self.fields if f.name in names))
+
 
 @dataclass(frozen=True)
 class CompatLimits:

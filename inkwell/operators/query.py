@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.functions.analysis import query_terms
+
 from .index import document_frequency
 
 BITS = 62
@@ -95,6 +97,17 @@ class Or(Query):
         self.children = [x for c in children for x in (c.children if isinstance(c, Or) else [c])]
 
 
+def nodes(query: Query) -> list[Query]:
+    """The query and all below it."""
+    below = [query.child] if isinstance(query, Not) else [] if isinstance(query, Leaf) else query.children
+    return [query, *(x for c in below for x in nodes(c))]
+
+
+def text_query(field: str, text: str, analyzer: str = "word") -> And:
+    """All terms that the analyzer makes of a text."""
+    return And(*(Term(field, t) for t in query_terms(text, analyzer)))
+
+
 def admitted(own: DataFrame, leaf: Prefix) -> DataFrame:
     """(term, cut) of the terms a capped prefix takes; cut: whether the cap left some out.
 
@@ -123,8 +136,10 @@ def match(own: DataFrame, query: Query) -> DataFrame:
     for h in holds[1:]:
         anything |= h
     hits = own.where(anything)
-    if len(leaves) == 1 and not isinstance(query, Not):
-        return hits.select("doc_id").distinct().withColumn("match_field", F.lit(leaves[0].field))
+    if len(leaves) == 1 and not any(isinstance(q, Not) for q in nodes(query)):
+        # Postings are a set, so a term has a document once; a prefix has one for each of its terms.
+        ids = hits.select("doc_id")
+        return (ids.distinct() if isinstance(leaves[0], Prefix) else ids).withColumn("match_field", F.lit(leaves[0].field))
     masks = []
     for low in range(0, len(leaves), BITS):
         bits = [F.when(h, F.lit(1 << k)).otherwise(F.lit(0)) for k, h in enumerate(holds[low : low + BITS])]

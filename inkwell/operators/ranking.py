@@ -18,17 +18,18 @@ class SortKey:
     field: str
     desc: bool = True
 
-    def columns(self, spec: IndexSpec) -> list[Column]:
+    def columns(self, spec: IndexSpec, stored: bool = False) -> list[Column]:
+        """stored: the rows have the fields that are stored, in place of those with doc values."""
         f = spec.by_name.get(self.field)
         c = value(spec, self.field, f is not None and f.kind == "string")
-        c = F.lit(None).cast("long") if c is None else c
+        c = F.lit(None).cast("long") if c is None or (stored and not f.store) else c
         own = F.when(c.isNull(), F.col("doc_id"))
         return [c.desc_nulls_last(), own.desc_nulls_last()] if self.desc else [c.asc_nulls_first(), own.asc_nulls_last()]
 
 
-def order(keys: list[SortKey], spec: IndexSpec) -> list[Column]:
+def order(keys: list[SortKey], spec: IndexSpec, stored: bool = False) -> list[Column]:
     """The keys one after the other, then id descending."""
-    return [*(c for k in keys for c in k.columns(spec)), F.desc("doc_id")]
+    return [*(c for k in keys for c in k.columns(spec, stored)), F.desc("doc_id")]
 
 
 @dataclass(frozen=True)

@@ -2,72 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import numbered
+from inkwell.sources.store import Store
+
 from . import index as ix
 from .filters import Filter, passes
 from .model import NOT_EXIST, OK, CompatLimits, IndexSpec
 from .query import Query, match
 from .ranking import SortKey, StringScore, order
+from .stats import Trace
 
 
 class Index:
-    """Postings, doc values and stored documents, each a DataFrame that is read only as far as a search asks."""
+    """Postings, doc values and stored documents, each read only as far as a search asks.
 
-    def __init__(self, spec: IndexSpec, postings: DataFrame, doc_values: DataFrame, stored: DataFrame):
+    postings: a function from names of fields to their postings.
+    """
+
+    def __init__(self, spec: IndexSpec, postings: Callable[[set[str]], DataFrame], doc_values: DataFrame, stored: DataFrame):
         self.spec, self.postings, self.doc_values, self.stored = spec, postings, doc_values, stored
 
     @classmethod
     def of(cls, docs: DataFrame, spec: IndexSpec) -> Index:
-        """Built from documents as part of the search's own plan."""
+        """Built from documents as part of the search's own plan: only the fields a query asks are analysed."""
         docs = docs.where("doc_id > 0")
-        return cls(spec, ix.postings(docs, spec), ix.doc_values(docs, spec), ix.stored(docs, spec))
+        return cls(spec, lambda fields: ix.postings(docs, spec.only(fields)), ix.doc_values(docs, spec), ix.stored(docs, spec))
+
+    def write(self, store: Store, name: str) -> None:
+        """Postings as a file group for each field, sorted by term so that a search reads the few row groups its terms are in; a
+        term that many documents have fills several files. Doc values and stored documents are sorted by id."""
+        key = ["field", "term_type", "term", "num", "doc_id"]
+        every = self.postings({f.name for f in self.spec.fields})
+        store.write(f"{name}_postings", every.repartitionByRange(*key).sortWithinPartitions(*key), ("field",))
+        for part, df in (("values", self.doc_values), ("stored", self.stored)):
+            store.write(f"{name}_{part}", df.repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+
+    @classmethod
+    def read(cls, store: Store, name: str, spec: IndexSpec) -> Index:
+        """What write() made; searches look its terms up and analyse no text."""
+        own = store.read(f"{name}_postings")
+        return cls(spec, lambda fields: own.where(F.col("field").isin(sorted(fields))), store.read(f"{name}_values"), store.read(f"{name}_stored"))
+
+    def matches(self, query: Query, limits: CompatLimits = CompatLimits()) -> DataFrame:
+        """(doc_id, match_field) of the candidates, within the limits."""
+        fields = {x.field for x in query.leaves()}
+        own = self.postings(fields)
+        found = match(own if limits.postings_per_term is None else ix.capped(own, limits.postings_per_term), query)
+        return found if limits.candidates is None else found.orderBy(F.desc("doc_id")).limit(limits.candidates + 1)
+
+    def passing(self, found: DataFrame, filters: list[Filter], min_match: int, values: set[str]) -> DataFrame:
+        """Those of found that pass, with the doc values asked for; without any nothing is joined."""
+        asked = {x.field for x in filters} | values
+        names = [f.name for f in self.spec.fields if f.doc_value and f.name in asked]
+        if names:
+            found = found.join(self.doc_values.select("doc_id", *names), "doc_id", "left")
+        return found.where(passes(list(filters), self.spec, min_match)) if filters else found
 
-    def hits(self, query: Query, filters: list[Filter] = (), min_match: int = 0, limits: CompatLimits = CompatLimits()) -> DataFrame:
-        """All hits with their doc values, unordered."""
-        own = self.postings if limits.postings_per_term is None else ix.capped(self.postings, limits.postings_per_term)
-        found = match(own, query)
-        if limits.candidates is not None:
-            found = found.orderBy(F.desc("doc_id")).limit(limits.candidates + 1)
-        return found.join(self.doc_values, "doc_id", "left").where(passes(list(filters), self.spec, min_match))
+    def hits(self, query: Query, filters: list[Filter] = (), min_match: int = 0, limits: CompatLimits = CompatLimits(), values: tuple[str, ...] = ()) -> DataFrame:
+        """All hits (doc_id, match_field) with the doc values asked for and those the filters read, unordered."""
+        return self.passing(self.matches(query, limits), list(filters), min_match, set(values))
 
-    def search(self, query: Query, offset: int = 0, limit: int = 10, filters: list[Filter] = (), sort: list[SortKey] = (), scores: list[StringScore] = (), max_score_docs: int | None = None, min_match: int = 0, with_total: bool = False, limits: CompatLimits = CompatLimits()) -> DataFrame:
+    def search(self, query: Query, offset: int = 0, limit: int = 10, filters: list[Filter] = (), sort: list[SortKey] = (), scores: list[StringScore] = (), max_score_docs: int | None = None, min_match: int = 0, with_total: bool = False, limits: CompatLimits = CompatLimits(), trace: Trace | None = None) -> DataFrame:
         """(rank, doc_id, match_field[, score][, total]): rank counts from 1 in the final order.
 
         Scores choose which hits are kept; their order is that of the sort keys, or id descending.
-        max_score_docs: batches of candidates, in id order, are scored until so many hits are.
+        max_score_docs: batches of candidates, in id order, are scored until so many hits are. trace: gets
+        the numbers of candidates, hits and results when the result is run.
         """
-        found = self.hits(query, filters, min_match, limits)
+        candidates = self.matches(query, limits)
+        candidates = trace.count(candidates, "candidates") if trace else candidates
+        found = self.passing(candidates, list(filters), min_match, set() if scores else {k.field for k in sort})
+        found = trace.count(found, "hits") if trace else found
         extra = []
         if scores:
             ranked = found.select("doc_id", "match_field")
             if max_score_docs is not None:
-                ranked = self.first_batches(query, found, max(max_score_docs, offset + limit), limits)
+                ranked = self.first_batches(candidates.select("doc_id"), ranked, max(max_score_docs, offset + limit), limits.batch)
             score = sum((s.expr() for s in scores), F.lit(0.0))
             ranked = ranked.join(self.stored, "doc_id").withColumn("score", score)
             top = ranked.orderBy(F.desc("score"), F.desc("doc_id")).offset(offset).limit(limit)
             extra = ["score"]
         else:
             top = found.orderBy(*order(list(sort), self.spec)).offset(offset).limit(limit)
-        # What is left is offset + limit rows at most, so one task numbers it.
-        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order(list(sort), self.spec)))
+        # What is left is offset + limit rows at most, so one task numbers it. Scored hits are sorted by stored values.
+        rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order(list(sort), self.spec, stored=bool(scores))))
         top = top.withColumn("rank", rank).select("rank", "doc_id", "match_field", *extra)
         if with_total:
             total = found.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))
             top = top.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
-        return top
+        return trace.count(top, "results") if trace else top
 
-    def first_batches(self, query: Query, found: DataFrame, bound: int, limits: CompatLimits) -> DataFrame:
+    def first_batches(self, candidates: DataFrame, found: DataFrame, bound: int, size: int) -> DataFrame:
         """Hits of the batches of candidates, in id order, that come before `bound` hits are reached."""
-        w = Window.partitionBy(F.lit(0)).orderBy(F.desc("doc_id"))
-        every = match(self.postings, query)
-        if limits.candidates is not None:
-            every = every.orderBy(F.desc("doc_id")).limit(limits.candidates + 1)
-        batch = every.select("doc_id", F.floor((F.row_number().over(w) - 1) / limits.batch).alias("batch"))
-        own = found.select("doc_id", "match_field").join(batch, "doc_id")
-        sizes = own.groupBy("batch").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("batch")) - F.col("n"))
-        return own.join(sizes.where(F.col("before") < bound).select("batch"), "batch", "left_semi").drop("batch")
+        every = numbered(candidates, F.desc("doc_id"), name="place")
+        own = found.join(every, "doc_id").withColumn("hit_batch", F.floor(F.col("place") / size)).drop("place")
+        # A hit's number among the hits: those before its batch's first hit are in earlier batches.
+        hits = numbered(own, F.desc("doc_id"), name="hit")
+        last = hits.where(F.col("hit") < bound).agg(F.max("hit_batch").alias("last_batch")).withColumn("one", F.lit(1))
+        first = hits.withColumn("one", F.lit(1)).join(F.broadcast(last), "one")
+        return first.where("hit_batch <= last_batch").select("doc_id", "match_field")
 
     def fetch(self, ids: DataFrame, source: str = "stored") -> DataFrame:
         """Each id (doc_id) with its stored document or doc values, and status OK or NOT_EXIST."""
@@ -76,4 +114,4 @@ class Index:
 
     def facets(self, query: Query, field: str, filters: list[Filter] = ()) -> DataFrame:
         """Extension: hits by value of a doc-value field."""
-        return self.hits(query, filters).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))
+        return self.hits(query, filters, values=(field,)).groupBy(F.col(field).alias("value")).agg(F.count("*").alias("n"))

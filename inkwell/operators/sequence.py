@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import numbered
+
 
 def current(mapping: DataFrame, ids: DataFrame) -> DataFrame:
     """(user_id, seq, max_seq) of the asked ids; seq is null where there is none, max_seq 0 in an empty table."""
@@ -13,19 +15,9 @@ def current(mapping: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def acquire(mapping: DataFrame, ids: DataFrame) -> DataFrame:
-    """(user_id, seq) of the asked ids (user_id, pos): what they have, or the next numbers by position.
-
-    The new ids are sorted over all tasks; each task numbers its own, and the tasks' sizes, one
-    row each, give where it begins. So no task holds all.
-    """
+    """(user_id, seq) of the asked ids (user_id, pos): what they have, or the next numbers by position."""
     asked = ids.groupBy("user_id").agg(F.min("pos").alias("pos"))
     known = asked.join(mapping, "user_id").select("user_id", "seq")
-    fresh = asked.join(mapping, "user_id", "left_anti").orderBy("pos", "user_id").withColumn("at", F.monotonically_increasing_id())
-    fresh = fresh.select("user_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place"))
-    from pyspark.sql import Window
-
-    sizes = fresh.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias("before"))
-    top = mapping.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top")).withColumn("one", F.lit(1))
-    numbered = fresh.join(before, "part").withColumn("one", F.lit(1)).join(F.broadcast(top), "one")
-    return known.unionByName(numbered.select("user_id", (F.col("top") + F.col("before") + F.col("place") + 1).alias("seq")))
+    top = mapping.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    fresh = numbered(asked.join(mapping, "user_id", "left_anti"), "pos", "user_id", name="seq", start=top + 1)
+    return known.unionByName(fresh.select("user_id", F.col("seq").cast("long").alias("seq")))

@@ -1,7 +1,7 @@
 """Batch maintenance of documents: six write modes, term-level index differences, folding.
 
-Documents are wide rows (doc_id and a column for each field). Nothing runs here: every part of
-a result is a DataFrame, for the caller to write where the table's next version lives.
+Documents are wide rows (doc_id and a column for each field). Only the batch is joined and written
+here; every part of a result is a DataFrame, for the caller to write where the table's next version lives.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import materialise
+
 from . import index as ix
 from .model import EXISTS, ID_ZERO, NOT_EXIST, OK, OTHER_DOC_ERROR, TOO_LARGE, IndexSpec
 
@@ -20,45 +22,45 @@ KEY = ("field", "term_type", "term", "num", "doc_id")
 @dataclass
 class WriteResult:
     """statuses (doc_id, status); docs: the table afterwards; delta: changes of postings (KEY, state: 0
-    add, 1 delete); failed: one row, whether the batch failed and changed nothing."""
+    add, 1 delete); failed: whether the batch failed and changed nothing."""
 
     statuses: DataFrame
     docs: DataFrame
     delta: DataFrame
-    failed: DataFrame
+    failed: bool
 
 
 def _write(old: DataFrame, new: DataFrame, spec: IndexSpec, mode: str, max_bytes: int | None = None) -> WriteResult:
     names = [f.name for f in spec.fields]
     batch = new.groupBy("doc_id").agg(F.count("*").alias("times"), *(F.first(n).alias(n) for n in names if n in new.columns))
     batch = batch.select("doc_id", "times", *(F.col(n) if n in batch.columns else F.lit(None).cast(old.schema[n].dataType).alias(n) for n in names))
-    before = old.select("doc_id", F.struct(*names).alias("was"))
-    both = batch.join(before, "doc_id", "left")
+    both = batch.join(old.select("doc_id", F.struct(*names).alias("was")), "doc_id", "left")
     there = F.col("was").isNotNull()
     own = F.when(F.coalesce("doc_id", F.lit(0)) <= 0, ID_ZERO).when(F.col("times") > 1, OTHER_DOC_ERROR)
     if mode == "add":
         own = own.when(there, EXISTS)
     if mode in ("update", "delete"):
         own = own.when(~there, NOT_EXIST)
-    if max_bytes is not None:
-        size = sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in names), F.lit(0))
-        total = batch.agg((F.sum(size) > max_bytes).alias("large")).withColumn("one", F.lit(1))
-        both = both.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
-        own = own.when(F.col("large"), TOO_LARGE)
-    both = both.withColumn("own", own.otherwise(OK))
-    # A missing document is no failure of a deletion. One row says if the batch failed.
+    size = sum((F.coalesce(F.octet_length(F.col(n).cast("string")), F.lit(0)) for n in names), F.lit(0))
+    # The batch beside what it meets is written once; statuses, documents and postings are read from it.
+    state = materialise(both.withColumns({"own": own.otherwise(OK), "bytes": size}), "batch")
+    # A missing document is no failure of a deletion.
     bad = (F.col("own") != OK) & ((F.col("own") != NOT_EXIST) if mode == "delete" else F.lit(True))
-    failed = both.agg(F.coalesce(F.bool_or(bad), F.lit(False)).alias("failed"))
-    state = both.withColumn("one", F.lit(1)).join(F.broadcast(failed.withColumn("one", F.lit(1))), "one").drop("one")
-    statuses = state.select("doc_id", F.when((F.col("own") == OK) & F.col("failed"), OTHER_DOC_ERROR).otherwise(F.col("own")).alias("status"))
-    done = state.where(~F.col("failed"))
+    wrong, total = state.agg(F.coalesce(F.bool_or(bad), F.lit(False)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    large = max_bytes is not None and total > max_bytes
+    failed = wrong or large
+    status = F.when((F.col("own") == OK) & F.lit(failed), TOO_LARGE if large else OTHER_DOC_ERROR).otherwise(F.col("own"))
+    statuses = state.select("doc_id", status.alias("status"))
+    done = state.limit(0) if failed else state
 
     def merged(n: str) -> Column:
         return F.coalesce(n, F.col("was")[n]).alias(n) if mode in ("update", "upsert") else F.col(n)
 
-    rest = old.select("doc_id", *names).join(done.select("doc_id"), "doc_id", "left_anti")
     after = done.select("doc_id", *map(merged, names))
-    docs = rest if mode == "delete" else rest.unionByName(after)
+    docs = old.select("doc_id", *names)
+    if not failed:
+        docs = docs.join(state.select("doc_id"), "doc_id", "left_anti")
+        docs = docs if mode == "delete" else docs.unionByName(after)
     was = done.where(there).select("doc_id", "was.*")
     gone = was.limit(0) if mode == "append" else was
     kept = [f.name for f in spec.fields if f.invert and not f.keep_terms]

@@ -5,6 +5,7 @@ Documents are indexed by doc_id + 1, as 0 is no id, and given back by doc_id.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,11 @@ from inkwell.operators import index as ix
 from inkwell.operators import sequence, stats, writer
 from inkwell.operators.filters import Contains, Equal, InList, MatchStrings, NotContains, NotEqual, NotInList, Range
 from inkwell.operators.model import CompatLimits, FieldSpec, IndexSpec
-from inkwell.operators.query import And, Not, Or, Prefix, Query, Term, TermU64, prefix_status
+from inkwell.operators.query import And, Not, Or, Prefix, Query, Term, TermU32, TermU64, prefix_status, text_query
 from inkwell.operators.ranking import SortKey, StringScore
 from inkwell.operators.search import Index
 from inkwell.sources import store
+from inkwell.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -61,6 +63,31 @@ def events(spark: SparkSession, sf_dir: str, residue: int) -> DataFrame:
     return own.select((F.col("event_id") + 1).alias("doc_id"), "event_type", "user_id", F.floor(F.col("value") * (100 if residue == 2 else 10)).alias("cents"))
 
 
+def stored_index(spark: SparkSession, sf_dir: str, spec: IndexSpec, docs: Callable, *tables: str) -> Index:
+    """The index of documents, built once in the shared folder and read from there by every search. It belongs
+    to the tables' files as they are: their names, sizes and times are part of its own name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = []
+    for t in tables:
+        at = path(f"{sf_dir}/{t}.parquet")
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        own = fs.listStatus(at) if fs.getFileStatus(at).isDirectory() else [fs.getFileStatus(at)]
+        files += sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in own)
+    name = hashlib.md5(repr((files, spec)).encode()).hexdigest()
+    kept = store.Store(spark, f"{shared_dir(spark)}/inkwell-index")
+    if not kept.versions(f"{name}_stored"):  # written last
+        Index.of(docs(spark, sf_dir), spec).write(kept, name)
+    return Index.read(kept, name, spec)
+
+
+def doc_index(spark: SparkSession, sf_dir: str) -> Index:
+    return stored_index(spark, sf_dir, DOCS, documents, "documents", "labels")
+
+
+def order_index(spark: SparkSession, sf_dir: str) -> Index:
+    return stored_index(spark, sf_dir, ORDERS, orders, "orders")
+
+
 def plain(df: DataFrame) -> DataFrame:
     """Ids as they were, and longs."""
     return df.withColumn("doc_id", F.col("doc_id") - 1)
@@ -68,7 +95,7 @@ def plain(df: DataFrame) -> DataFrame:
 
 def doc_hits(name: str, q: Query, sql: str) -> None:
     """A query whose result is the ids of its hits."""
-    QUERIES[name] = lambda spark, sf_dir: plain(Index.of(documents(spark, sf_dir), DOCS).hits(q).select("doc_id"))
+    QUERIES[name] = lambda spark, sf_dir: plain(doc_index(spark, sf_dir).hits(q).select("doc_id"))
     ORACLE_SQL[name] = f"{WITH} {sql}"
 
 
@@ -92,18 +119,18 @@ doc_hits("number_of_labels", TermU64("toxic", 1), "SELECT doc_id FROM docs WHERE
 
 @query(f"{WITH} SELECT CASE WHEN (SELECT sum(1 + 9 * n) FROM (SELECT count(*) AS n FROM tok WHERE term LIKE 'th%' GROUP BY term)) > 5000 THEN 18538 ELSE 0 END AS status")
 def prefix_cap_status(spark, sf_dir):
-    return prefix_status(ix.postings(documents(spark, sf_dir), DOCS), Prefix("text", "th", 5000))
+    return prefix_status(doc_index(spark, sf_dir).postings({"text"}), Prefix("text", "th", 5000))
 
 
 @query(f"{ORD} SELECT o_orderkey FROM o WHERE o_custkey = 7")
 def term_eq_numeric(spark, sf_dir):
-    return plain(Index.of(orders(spark, sf_dir), ORDERS).hits(TermU64("o_custkey", 7)).select("doc_id")).withColumnRenamed("doc_id", "o_orderkey")
+    return plain(order_index(spark, sf_dir).hits(TermU64("o_custkey", 7)).select("doc_id")).withColumnRenamed("doc_id", "o_orderkey")
 
 
 @query(f"{WITH} SELECT doc_id, CASE WHEN doc_id IN ({has('scum')}) THEN 'text' ELSE 'lang' END AS match_field FROM docs WHERE lang = 'fr' OR doc_id IN ({has('scum')})")
 def matched_field(spark, sf_dir):
     q = Or(Term("text", "scum"), Term("lang", "fr"))
-    return plain(Index.of(documents(spark, sf_dir), DOCS).hits(q).select("doc_id", "match_field"))
+    return plain(doc_index(spark, sf_dir).hits(q).select("doc_id", "match_field"))
 
 
 SUFFIX = f"terms AS (SELECT p_partkey, unnest({WORDS.format('p_name')}) AS t FROM part), suf AS (SELECT DISTINCT p_partkey, unnest(CASE WHEN strlen(t) <= 64 THEN list_filter(list_transform(range(1, length(t) + 1), lambda i: substr(t, i)), lambda s: strlen(s) >= least(5, strlen(t))) ELSE [t] END) AS term FROM terms)"
@@ -123,9 +150,41 @@ def fuzzy_infix(spark, sf_dir):
     return Index.of(parts(spark, sf_dir), PARTS).hits(Prefix("p_name", "art")).select((F.col("doc_id") - 1).alias("p_partkey"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(text, '[ \\t\\r]+'), lambda x: x <> ''))) AS n FROM documents".replace("\\t", "\t").replace("\\r", "\r"))
+CITED = f"WITH {SUFFIX.replace('p_partkey', 'doc_id').replace('p_name', 'text').replace('FROM part)', 'FROM documents)')}"
+
+
+@query(f"{CITED} SELECT DISTINCT doc_id FROM suf WHERE starts_with(term, 'icense')")
+def fuzzy_infix_hits(spark, sf_dir):
+    """Words that hold `icense` behind their beginning, at least."""
+    spec = IndexSpec((FieldSpec("text", suffix=True),))
+    docs = table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 1)
+    return plain(stored_index(spark, sf_dir, spec, lambda *_: docs, "documents").hits(Prefix("text", "icense")).select("doc_id"))
+
+
+@query(f"{WITH} {has('the')} INTERSECT {has('and')} INTERSECT {has('of')}")
+def text_query_terms(spark, sf_dir):
+    """A text becomes the conjunction of its terms."""
+    return plain(doc_index(spark, sf_dir).hits(text_query("text", "The AND of; the")).select("doc_id"))
+
+
+@query(f"{ORD} SELECT o_orderkey FROM o WHERE o_custkey % 4294967296 = 11")
+def term_eq_u32(spark, sf_dir):
+    """A number of 32 bits is another term than the same one of 64."""
+    spec = IndexSpec((FieldSpec("o_custkey", "u32"),))
+    own = Index.of(orders(spark, sf_dir), spec)
+    return plain(own.hits(Or(TermU32("o_custkey", 11), TermU64("o_custkey", 7))).select("doc_id")).withColumnRenamed("doc_id", "o_orderkey")
+
+
+@query(f"{WITH} SELECT doc_id, lang, n_chars, 0 AS status FROM docs WHERE doc_id IN ({has('license')})")
+def fetch_doc_values(spark, sf_dir):
+    """Hits with their doc values."""
+    own = doc_index(spark, sf_dir)
+    return plain(own.fetch(own.hits(Term("text", "license")).select("doc_id"), "doc_values").select("doc_id", "lang", "n_chars", "status"))
+
+
+@query("SELECT doc_id, md5(term) AS term FROM (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(text, '[ \t\r]+'), lambda x: x <> ''))) AS term FROM documents)")
 def analyzer_whitespace(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(an.whitespace(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(an.whitespace(F.col("text"))).alias("t")).select("doc_id", F.md5("t").alias("term"))
 
 
 @query(f"SELECT page_id, unnest({WORDS.format('html')}) AS term FROM pages")
@@ -159,7 +218,7 @@ def postings_capped(spark, sf_dir):
 
 def filtered(name: str, filters: list, sql: str, min_match: int = 0) -> None:
     """Documents with the word `the` that pass filters."""
-    QUERIES[name] = lambda spark, sf_dir: plain(Index.of(documents(spark, sf_dir), DOCS).hits(Term("text", "the"), filters, min_match).select("doc_id"))
+    QUERIES[name] = lambda spark, sf_dir: plain(doc_index(spark, sf_dir).hits(Term("text", "the"), filters, min_match).select("doc_id"))
     ORACLE_SQL[name] = f"{WITH} SELECT doc_id FROM docs WHERE doc_id IN ({has('the')}) AND coalesce({sql}, false)"
 
 
@@ -181,7 +240,7 @@ def sorted_orders(name: str, keys: list, by: str, offset: int = 0, limit: int =
     """Orders with status F in an order; rank keeps it."""
 
     def run(spark, sf_dir):
-        own = Index.of(orders(spark, sf_dir), ORDERS).search(Term("o_orderstatus", "F"), offset, limit, sort=keys)
+        own = order_index(spark, sf_dir).search(Term("o_orderstatus", "F"), offset, limit, sort=keys)
         return plain(own).select("rank", F.col("doc_id").alias("o_orderkey"))
 
     QUERIES[name] = run
@@ -200,7 +259,7 @@ def sorted_docs(name: str, desc: bool) -> None:
     by = "quality DESC NULLS LAST, CASE WHEN quality IS NULL THEN id END DESC, id DESC" if desc else "quality NULLS FIRST, CASE WHEN quality IS NULL THEN id END, id DESC"
 
     def run(spark, sf_dir):
-        own = Index.of(documents(spark, sf_dir), DOCS).search(Term("lang", "en"), 0, 400, sort=[SortKey("quality", desc)])
+        own = doc_index(spark, sf_dir).search(Term("lang", "en"), 0, 400, sort=[SortKey("quality", desc)])
         return plain(own).select("rank", "doc_id")
 
     QUERIES[name] = run
@@ -213,13 +272,13 @@ sorted_docs("sort_missing_asc", False)
 
 @query(f"{WITH} SELECT row_number() OVER (ORDER BY doc_id DESC)::INT AS rank, doc_id, (SELECT count(*) FROM tok WHERE term = 'the') AS total FROM (SELECT doc_id FROM tok WHERE term = 'the' ORDER BY doc_id DESC LIMIT 5)")
 def match_total_count(spark, sf_dir):
-    own = Index.of(documents(spark, sf_dir), DOCS).search(Term("text", "the"), limit=5, with_total=True)
+    own = doc_index(spark, sf_dir).search(Term("text", "the"), limit=5, with_total=True)
     return plain(own).select("rank", "doc_id", "total")
 
 
 @query(f"{WITH} SELECT doc_id FROM (SELECT * FROM docs WHERE doc_id IN ({has('the')}) ORDER BY id DESC LIMIT 101) WHERE coalesce(quality = 1, false)")
 def candidate_cap(spark, sf_dir):
-    return plain(Index.of(documents(spark, sf_dir), DOCS).hits(Term("text", "the"), [Equal("quality", 1)], limits=CompatLimits(candidates=100)).select("doc_id"))
+    return plain(doc_index(spark, sf_dir).hits(Term("text", "the"), [Equal("quality", 1)], limits=CompatLimits(candidates=100)).select("doc_id"))
 
 
 SCORED = f"{WITH}, c AS (SELECT id, doc_id, n_chars, CASE WHEN contains(text, 'scum') THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END + 10.0::DOUBLE * (2.0::DOUBLE / len({WORDS.format('text')})) AS score, row_number() OVER (ORDER BY id DESC) - 1 AS r FROM docs WHERE doc_id IN ({has('the')}))"
@@ -229,7 +288,7 @@ def scored(name: str, sort: list, by: str, bound: int | None = None) -> None:
     """Hits of `the` chosen by score, ten after the first five."""
 
     def run(spark, sf_dir):
-        own = Index.of(documents(spark, sf_dir), DOCS).search(Term("text", "the"), 5, 10, sort=sort, scores=[StringScore("scum", 2, "text")], max_score_docs=bound, limits=CompatLimits(batch=50))
+        own = doc_index(spark, sf_dir).search(Term("text", "the"), 5, 10, sort=sort, scores=[StringScore("scum", 2, "text")], max_score_docs=bound, limits=CompatLimits(batch=50))
         return plain(own).select("rank", "doc_id", F.round("score", 9).alias("score"))
 
     QUERIES[name] = run
@@ -241,6 +300,13 @@ scored("rerank_string", [], "id DESC")
 scored("rerank_then_sort", [SortKey("n_chars", False)], "n_chars, id DESC")
 scored("rerank_bounded", [], "id DESC", 120)
 
+@query(f"{WITH}, c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS r FROM tok WHERE term = 'the'), k AS (SELECT doc_id, (r - 1) // 40 AS batch FROM c WHERE r <= 200), h AS (SELECT k.*, row_number() OVER (ORDER BY doc_id DESC) AS n FROM k JOIN docs USING (doc_id) WHERE lang = 'en'), s AS (SELECT doc_id FROM h WHERE batch <= (SELECT max(batch) FROM h WHERE n <= 60)) SELECT row_number() OVER (ORDER BY doc_id DESC)::INT AS rank, doc_id FROM (SELECT doc_id, CASE WHEN contains(text, 'scum') THEN 10.0 ELSE 0.0 END + 20.0 / len({WORDS.format('text')}) AS score FROM s JOIN docs USING (doc_id) ORDER BY score DESC, doc_id DESC LIMIT 30)")
+def rerank_capped_bounded(spark, sf_dir):
+    """Batches count the candidates that the posting cap leaves."""
+    own = doc_index(spark, sf_dir).search(Term("text", "the"), 0, 30, [Equal("lang", "en")], scores=[StringScore("scum", 2, "text")], max_score_docs=60, limits=CompatLimits(postings_per_term=200, batch=40))
+    return plain(own).select("rank", "doc_id")
+
+
 EV = "WITH old AS (SELECT event_id, event_type, user_id, floor(value * 10)::BIGINT AS cents FROM events WHERE event_id % 3 <> 1), new AS (SELECT event_id, event_type, user_id, floor(value * 100)::BIGINT AS cents FROM events WHERE event_id % 3 <> 2)"
 
 
@@ -258,6 +324,29 @@ def write_add_status(spark, sf_dir):
     return back(written(spark, sf_dir, "add").statuses)
 
 
+@query(f"{EV} SELECT * FROM old UNION ALL SELECT * FROM new WHERE event_id % 3 = 1")
+def write_add(spark, sf_dir):
+    """Only new documents: the batch is added."""
+    return back(written(spark, sf_dir, "add", lambda n: n.where("(doc_id - 1) % 3 = 1")).docs)
+
+
+@query(f"{EV} SELECT event_id, 0 AS status FROM new WHERE event_id % 3 = 1")
+def write_add_fresh_status(spark, sf_dir):
+    return back(written(spark, sf_dir, "add", lambda n: n.where("(doc_id - 1) % 3 = 1")).statuses)
+
+
+@query(f"{EV} SELECT event_id, CASE WHEN event_id = 0 THEN 18530 ELSE 18533 END AS status FROM (SELECT event_id FROM new UNION SELECT 0)")
+def write_id_zero_status(spark, sf_dir):
+    """An id of 0 fails the batch."""
+    old, new = events(spark, sf_dir, 1), events(spark, sf_dir, 2).where("doc_id <> 1").unionByName(events(spark, sf_dir, 2).limit(1).withColumn("doc_id", F.lit(0).cast("long")))
+    return writer.replace(old, new, EVENTS).statuses.select(F.greatest(F.col("doc_id") - 1, F.lit(0)).alias("event_id"), "status")
+
+
+@query(f"{EV} SELECT event_id, 18537 AS status FROM new")
+def write_too_large_status(spark, sf_dir):
+    return back(writer.upsert(events(spark, sf_dir, 1), events(spark, sf_dir, 2), EVENTS, 1000).statuses)
+
+
 @query(f"{EV} SELECT event_id, CASE WHEN event_id IN (SELECT event_id FROM old) THEN 18533 ELSE 18527 END AS status FROM new")
 def write_update_status(spark, sf_dir):
     return back(written(spark, sf_dir, "update").statuses)
@@ -294,10 +383,11 @@ def write_batch_atomic(spark, sf_dir):
 
 
 
-@query(f"{EV} SELECT *, 0 AS state FROM (SELECT event_id, cents AS num FROM new WHERE event_id % 3 = 0 EXCEPT SELECT event_id, cents FROM old) UNION ALL SELECT *, 1 FROM (SELECT event_id, cents AS num FROM old WHERE event_id % 3 = 0 EXCEPT SELECT event_id, cents FROM new)")
+@query(f"{EV} SELECT *, 'cents' AS field, 0 AS state FROM (SELECT event_id, cents AS num FROM new WHERE event_id % 3 = 0 EXCEPT SELECT event_id, cents FROM old) UNION ALL SELECT *, 'cents', 1 FROM (SELECT event_id, cents AS num FROM old WHERE event_id % 3 = 0 EXCEPT SELECT event_id, cents FROM new)")
 def posting_diff(spark, sf_dir):
+    """Only the changed field's terms differ."""
     own = written(spark, sf_dir, "update", lambda n: n.where("(doc_id - 1) % 3 = 0").select("doc_id", "cents")).delta
-    return back(own.where("field = 'cents'").select("doc_id", "num", "state"))
+    return back(own.select("doc_id", "num", "field", "state"))
 
 
 @query(f"{EV} SELECT event_id, 'event_type' AS field, event_type AS term, NULL::BIGINT AS num FROM (SELECT event_id, event_type FROM old UNION SELECT event_id, event_type FROM new) UNION ALL SELECT event_id, 'user_id', NULL, user_id FROM (SELECT event_id, user_id FROM old UNION SELECT event_id, user_id FROM new) UNION ALL SELECT event_id, 'cents', NULL, coalesce(n.cents, o.cents) FROM old o FULL JOIN new n USING (event_id)")
@@ -307,11 +397,28 @@ def posting_fold(spark, sf_dir):
     return back(writer.fold(changes).select("doc_id", "field", "term", "num"))
 
 
-@query(f"{EV} SELECT event_id, 'cents' AS field, cents AS num FROM old UNION SELECT event_id, 'cents', cents FROM new")
+@query(f"{EV}, e AS (SELECT * FROM old UNION ALL SELECT * FROM new) SELECT event_id, 'cents' AS field, NULL AS term, cents AS num FROM e UNION SELECT event_id, 'user_id', NULL, user_id FROM e UNION SELECT event_id, 'event_type', event_type, NULL FROM e")
 def append_keeps_stale(spark, sf_dir):
+    """Postings of what was overwritten stay, in every field."""
     first = ix.postings(events(spark, sf_dir, 1), EVENTS).withColumn("state", F.lit(0))
     changes = store.write_batches([("first", first), ("second", written(spark, sf_dir, "append").delta)])
-    return back(writer.fold(changes).where("field = 'cents'").select("doc_id", "field", "num"))
+    return back(writer.fold(changes).select("doc_id", "field", "term", "num"))
+
+
+@query(f"{EV} SELECT event_id, event_type AS term FROM old WHERE NOT (event_type >= 'c' AND event_type < 'q')")
+def buffer_delete_range(spark, sf_dir):
+    """A range of a field's terms is deleted."""
+    spec = IndexSpec((FieldSpec("event_type", analyzer="whole"),))
+    own = ix.postings(events(spark, sf_dir, 1), spec)
+    changes = store.write_batches([("first", own.withColumn("state", F.lit(0)))])
+    return back(writer.fold(changes.unionByName(store.delete_range(own, "event_type", "c", "q", 1))).select("doc_id", "term"))
+
+
+@query("SELECT count(*) AS kv_count, sum(strlen('event_type') + 1 + strlen(event_type) + strlen((event_id + 1)::VARCHAR) + 1)::BIGINT AS data_size FROM events WHERE event_id % 3 <> 1")
+def buffer_size(spark, sf_dir):
+    """How many changes a write buffer holds, and their bytes: field, kind, term, id and state."""
+    own = ix.postings(events(spark, sf_dir, 1), IndexSpec((FieldSpec("event_type", analyzer="whole"),)))
+    return store.data_size(own.withColumn("state", F.lit(0)))
 
 
 @query("WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS seq FROM customer WHERE c_custkey % 2 = 0) SELECT c_name AS user_id, coalesce(k.seq, (SELECT max(seq) FROM k) + count(*) FILTER (WHERE k.seq IS NULL) OVER (ORDER BY c_custkey)) AS seq FROM customer LEFT JOIN k USING (c_custkey)")
@@ -355,9 +462,9 @@ def delete_page(spark, sf_dir):
     return writer.delete_page(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 20, 15)[0]
 
 
-@query(f"WITH {TOK[:-2]} SELECT term, doc_id FROM tok WHERE term LIKE 'x%' UNION SELECT 'bench', item_id FROM benchmark")
+@query(f"WITH {TOK[:-2]} SELECT term, doc_id FROM tok UNION SELECT 'bench', item_id FROM benchmark")
 def ingest_postings(spark, sf_dir):
-    own = ix.postings(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 1), IndexSpec((FieldSpec("text"),))).where("term LIKE 'x%'")
+    own = ix.postings(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id") + 1), IndexSpec((FieldSpec("text"),)))
     more = table(spark, sf_dir, "benchmark").select(F.lit("text").alias("field"), F.lit("bench").alias("term"), F.array(F.col("item_id") + 1).alias("doc_ids"))
     return plain(writer.ingest(own, more).select("term", "doc_id"))
 
@@ -365,7 +472,7 @@ def ingest_postings(spark, sf_dir):
 @query("SELECT k.item_id AS doc_id, d.lang, CASE WHEN d.doc_id IS NULL THEN 18527 ELSE 0 END AS status FROM (SELECT item_id * 50 AS item_id FROM benchmark) k LEFT JOIN documents d ON d.doc_id = k.item_id")
 def fetch_documents(spark, sf_dir):
     ids = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 50 + 1).alias("doc_id"))
-    return plain(Index.of(documents(spark, sf_dir), DOCS).fetch(ids).select("doc_id", "lang", "status"))
+    return plain(doc_index(spark, sf_dir).fetch(ids).select("doc_id", "lang", "status"))
 
 
 @query("SELECT k.item_id AS doc_id, d.n_chars, CASE WHEN d.doc_id IS NULL THEN 18527 ELSE 0 END AS status FROM (SELECT item_id * 50 AS item_id FROM benchmark) k LEFT JOIN documents d ON d.doc_id = k.item_id")
@@ -379,9 +486,28 @@ def scan_range(spark, sf_dir):
     return store.scan_range(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100, 900)
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey DESC)::INT AS place FROM orders WHERE o_orderkey <= 300")
+def scan_range_desc(spark, sf_dir):
+    own = store.scan_range(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", None, 300, desc=True)
+    return own.select("o_orderkey", (F.lit(301) - F.col("o_orderkey")).cast("int").alias("place"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77")
+def point_get(spark, sf_dir):
+    return store.get(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 77)
+
+
+@query("SELECT CASE WHEN value < 1 THEN 0.0::DOUBLE ELSE round(power(2.0, floor(log2(value) + 1e-9)), 6) END AS low, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1")
+def timing_histogram(spark, sf_dir):
+    """Histograms of two halves as one."""
+    own = table(spark, sf_dir, "events")
+    halves = [stats.histogram(own.where(F.col("event_id") % 2 == k), "value", 2.0) for k in (0, 1)]
+    return stats.merged_histograms(*halves).select(F.round("low", 6).alias("low"), "n")
+
+
 @query(f"{WITH} SELECT lang AS value, count(*) AS n FROM docs WHERE doc_id IN ({has('the')}) GROUP BY lang")
 def facets_extension(spark, sf_dir):
-    return Index.of(documents(spark, sf_dir), DOCS).facets(Term("text", "the"), "lang")
+    return doc_index(spark, sf_dir).facets(Term("text", "the"), "lang")
 
 
 @query("SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS deviation, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.8), 6) AS p80, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
@@ -396,5 +522,5 @@ FLAGSHIP = f"SELECT row_number() OVER (ORDER BY n_chars DESC, id DESC)::INT AS r
 @query(f"{WITH} {FLAGSHIP}")
 def flagship(spark, sf_dir):
     """Two terms, a range, a sort and a limit."""
-    own = Index.of(documents(spark, sf_dir), DOCS).search(And(Term("text", "the"), Term("text", "and")), 0, 20, [Range("n_chars", 200, 5000)], [SortKey("n_chars")])
+    own = doc_index(spark, sf_dir).search(And(Term("text", "the"), Term("text", "and")), 0, 20, [Range("n_chars", 200, 5000)], [SortKey("n_chars")])
     return plain(own).select("rank", "doc_id")
