@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -13,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.sources.shared import discard, materialise, scratch_path, shared_dir  # noqa: F401  for the operators
+
 #: Up to so many ids and entries of their lists (16 bytes at most, so 4 MB) may be broadcast; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 
@@ -29,30 +29,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, spark.checkpoint.dir. Only a session of one machine that names none (tests) gets
-    a local one; on a cluster that is an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        base = f"file://{tempfile.mkdtemp(prefix='inkwell-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files of tables that materialise() made and nothing reads any more."""
-    for t in tables:
-        spark = t.sparkSession
-        own = f"{shared_dir(spark)}/inkwell/".split("://")[-1].lstrip("/")
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if own in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 _held: dict[str, object] = {}
 
 
@@ -78,18 +54,6 @@ def give_back() -> None:
         pass
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/inkwell/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there, and lost executors cost no rerun."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """left joined to right, which has one row for each key. Hot keys are on the left only, so
     adaptive execution can split their partitions and give each part the one right row."""
@@ -104,6 +68,27 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "inner", lists:
     return df.join(F.broadcast(ids) if few else ids.hint("merge"), key, how)
 
 
+#: Bits of a map of hashes: 2 ** 24, two megabytes, whatever the corpus.
+MAP_BITS = 24
+
+
+def bit_map(hashes: DataFrame, column: str) -> np.ndarray:
+    """A map of fixed size that has a bit for each hash (long). It lets through what it holds and, the fuller it is, more and more
+    of the rest: it only saves rows of a join."""
+    word = F.shiftrightunsigned(column, 64 - MAP_BITS + 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, CAST(shiftrightunsigned({column}, {64 - MAP_BITS}) & 63 AS INT))")
+    found = hashes.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (MAP_BITS - 6), dtype=np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes (64-bit) the map lets through."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64 bits."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)

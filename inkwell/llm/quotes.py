@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, mix64
+from .common import bit_map, hold, lookup, materialise, may_hold, mix64
 
 MARKS = r"^([ \t]*>)+"
 WORDS, FREE = 8, 3
@@ -68,24 +68,32 @@ def passages(text: str) -> tuple[list[tuple[int, np.ndarray]], np.ndarray, np.nd
 
 
 def quoted_windows(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, passage, k, at, hash) of every window of k words of the quoted passages."""
+    """(conv_id, turn, level, passage, k, at, hash) of the windows of k words of the quoted passages: one after the
+    other, and the last."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         for batch in batches:
             for conv, turn, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for level, own in passages(text)[0]:
                     k, passage = min(WORDS, len(own)), int(windows(own, len(own))[0])
                     h = windows(own, k)
-                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(h), t) for v, t in ((conv, pa.int64()), (turn, pa.int64()), (level, pa.int32()), (passage, pa.int64()), (k, pa.int32()))] + [pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["conv_id", "turn", "level", "passage", "k", "at", "hash"])
+                    at = np.unique(np.append(np.arange(0, len(h), k), len(h) - 1)).astype(np.int32)
+                    h = h[at]
+                    yield pa.RecordBatch.from_arrays([pa.array([v] * len(h), t) for v, t in ((conv, pa.int64()), (turn, pa.int64()), (level, pa.int32()), (passage, pa.int64()), (k, pa.int32()))] + [pa.array(at), pa.array(h)], ["conv_id", "turn", "level", "passage", "k", "at", "hash"])
 
     return messages.where("text LIKE '%>%'").select("conv_id", "turn", "text").mapInArrow(run, "conv_id long, turn long, level int, passage long, k int, at int, hash long")
 
 
-def own_windows(messages: DataFrame) -> DataFrame:
+def own_windows(messages: DataFrame, asked: np.ndarray) -> DataFrame:
     """(conv_id, origin, k, place, hash) of every window of the asked lengths ks of messages (conv_id, turn,
-    text, ks) that aren't quotes; those under FREE words only where they are a whole line."""
+    text, ks) that isn't a quote and that the map of asked hashes lets through; those under FREE words only where they
+    are a whole line."""
+    sent = messages.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        bits = sent.value
         for batch in batches:
             for conv, turn, text, ks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, own, starts = passages(text or "")
@@ -96,6 +104,8 @@ def own_windows(messages: DataFrame) -> DataFrame:
                         ends = starts[1:][np.diff(starts) == k]
                         place = ends - k
                         h = h[place]
+                    hit = may_hold(bits, h)
+                    h, place = h[hit], place[hit]
                     if len(h):
                         yield pa.RecordBatch.from_arrays([pa.array([v] * len(h), t) for v, t in ((conv, pa.int64()), (turn, pa.int64()), (k, pa.int32()))] + [pa.array(place.astype(np.int32)), pa.array(h)], ["conv_id", "origin", "k", "place", "hash"])
 
@@ -108,7 +118,7 @@ def quotations(messages: DataFrame) -> DataFrame:
     quoted = materialise(quoted_windows(messages), "quotes")
     # Only conversations that hold quotes are cut to windows, and each passage of one is looked up once.
     asked = quoted.groupBy("conv_id").agg(F.collect_set("k").alias("ks"))
-    own = own_windows(lookup(messages, asked, ["conv_id"], "inner"))
+    own = own_windows(lookup(messages, asked, ["conv_id"], "inner"), bit_map(quoted, "hash"))
     each = quoted.select("conv_id", "passage", "k", "at", "hash").distinct()
     met = each.join(own.hint("merge"), ["conv_id", "k", "hash"])
     runs = met.groupBy("conv_id", "passage", "origin", (F.col("place") - F.col("at")).alias("line")).agg(F.countDistinct("at").alias("run"))
@@ -155,5 +165,51 @@ def reply_order(messages: DataFrame) -> DataFrame:
     return out.orderBy("conv_id", "thread", "turn", "role", "body")
 
 
+#: Characters of a line of a mail.
+COLUMNS = 72
+
+
+def as_mails(messages: DataFrame) -> DataFrame:
+    """messages (conv_id, turn, role, text) as mails: each quotes the one before it, wrapped anew, and as that one's quote the
+    one before that, under a line that announces them. Turns that aren't there are not quoted."""
+    said = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+
+    def back(k: int) -> DataFrame:
+        own = said.where("trim(BOTH ' \\t\\r\\n' FROM m.text) <> ''")
+        lines = F.regexp_replace(F.regexp_replace("m.text", r"^\s+", ""), rf"(\S{{{COLUMNS},}}|.{{1,{COLUMNS}}})(?:\s+|$)", "> " * k + "$1\n")
+        return own.select("conv_id", (F.col("turn") + k).alias("turn"), lines.alias(f"q{k}"), F.col("m.role").alias(f"by{k}"))
+
+    for k in (1, 2):
+        messages = messages.join(back(k).hint("merge"), ["conv_id", "turn"], "left")
+    head = F.when(F.coalesce("q1", "q2").isNotNull(), F.concat(F.lit("On the turn before, "), F.coalesce("by1", "by2", F.lit("someone")), F.lit(" wrote:\n")))
+    text = F.concat(F.coalesce(head, F.lit("")), F.coalesce("q2", F.lit("")), F.coalesce("q1", F.lit("")), F.coalesce("text", F.lit("")))
+    return messages.select("conv_id", "turn", "role", text.alias("text"))
+
+
 def op9_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reply_order(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """The conversations hold no quotes, so their messages are made mails that quote one another, and the operator takes that back:
+    bodies are the texts there were, and replies are found by the passages alone."""
+    return reply_order(as_mails(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: A quoted text comes from the first earlier message that holds its words in line; of under three words, as a whole line.
+OP9_SQL = """
+WITH RECURSIVE m AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS w FROM conversations),
+q AS (
+  SELECT m.conv_id, m.turn, p.w, m.turn - p.turn AS level FROM m JOIN m p ON p.conv_id = m.conv_id AND m.turn - p.turn IN (1, 2) WHERE p.w <> ''),
+f AS (
+  SELECT q.conv_id, q.turn, q.level, min(o.turn) AS origin
+  FROM q JOIN m o ON o.conv_id = q.conv_id AND o.turn < q.turn
+   AND CASE WHEN len(string_split(q.w, ' ')) >= 3 THEN contains(' ' || o.w || ' ', ' ' || q.w || ' ')
+            ELSE list_contains(list_transform(string_split(o.text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\\s+', ' ', 'g'))), q.w) END
+  GROUP BY ALL),
+n AS (SELECT conv_id, turn, count(*) AS n_quotes FROM q GROUP BY ALL),
+r AS (SELECT conv_id, turn, count(*) AS n_linked, arg_min(origin, level) AS reply_to FROM f GROUP BY ALL),
+l AS (SELECT m.*, r.reply_to, coalesce(n.n_quotes, 0) AS n_quotes, coalesce(r.n_linked, 0) AS n_linked FROM m LEFT JOIN n USING (conv_id, turn) LEFT JOIN r USING (conv_id, turn)),
+c AS (
+  SELECT conv_id, turn, turn AS thread, 0 AS depth FROM l WHERE reply_to IS NULL
+  UNION ALL SELECT l.conv_id, l.turn, c.thread, c.depth + 1 FROM l JOIN c ON l.conv_id = c.conv_id AND l.reply_to = c.turn)
+SELECT conv_id, turn, role, CASE WHEN n_quotes > 0 THEN trim(text) ELSE text END AS body, reply_to, thread, depth, n_quotes, n_linked
+FROM l JOIN c USING (conv_id, turn)
+"""

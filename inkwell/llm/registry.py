@@ -11,7 +11,7 @@ from .hnsw import op8_hnsw
 from .images import op1_image_copies
 from .lines import op10_line_dedup
 from .mixing import op4_mixing
-from .quotes import op9_quotation_linking
+from .quotes import OP9_SQL, op9_quotation_linking
 from .tokens import op2_bpe_encoding, op5_token_counts
 from .toxicity import op3_toxicity
 from .warc import OP6_SQL, op6_warc
@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_image_copies, op2_bpe_encoding, op3_toxicity, op4_mixing, op5_token_counts, op6_warc, op7_ngram_jaccard, op8_hnsw, op9_quotation_linking, op10_line_dedup)
 }
-ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op9_quotation_linking": OP9_SQL}
