@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -27,12 +28,27 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
 
+CONTROL = re.compile(r"[\x00-\x20\x7f-\x9f\u2028\u2029]+")
+#: A header's line that goes on in the next one.
+FOLDED = re.compile(r"\r\n[ \t]+")
+NAMES = {x.lower(): x for x in ("WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Refers-To", "WARC-Profile", "Content-Type", "Content-Length")}
+
+
+PAGE = re.compile(r"<urn:page:(-?\d+):")
+
+
 class WarcError(ValueError):
     """A record that breaks the format or whose digest is wrong."""
 
 
+def one_line(uri: str) -> str:
+    """A URI as a header can hold it: blanks and control characters are percent-encoded."""
+    return CONTROL.sub(lambda m: "".join(f"%{b:02X}" for b in m.group().encode()), uri)
+
+
 def record(kind: str, uri: str, own_id: str, payload: bytes, digest: bytes, refers_to: str | None) -> bytes:
     """One record as one gzip member. A revisit has the HTTP head alone, whose Content-Length is the whole payload's."""
+    uri = one_line(uri)
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
     b32 = lambda d: "sha1:" + base64.b32encode(d).decode()
@@ -64,25 +80,46 @@ def read_records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, str]
             ahead = inflate.unused_data if inflate.eof else b""
         whole = b"".join(parts)
         cut = whole.find(b"\r\n\r\n")
-        lines = whole[: max(cut, 0)].decode().split("\r\n")
+        lines = FOLDED.sub(" ", whole[: max(cut, 0)].decode("utf-8", "replace")).split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise WarcError(f"record {number}: no WARC version line")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
+        # Names of fields are the same in any case.
+        fields = {NAMES.get(k.strip().lower(), k.strip()): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+        if not fields.get("Content-Length", "").isdigit() or "WARC-Type" not in fields:
+            raise WarcError(f"record {number}: no content length or type")
         size = int(fields["Content-Length"])
         block = whole[cut + 4 : cut + 4 + size]
         if len(block) != size or whole[cut + 4 + size :] != b"\r\n\r\n":
             raise WarcError(f"record {number}: its content length is {size}")
-        if "WARC-Block-Digest" in fields and hashlib.sha1(block).digest() != digest_of(fields["WARC-Block-Digest"]):
+        if not matches(fields.get("WARC-Block-Digest"), block):
             raise WarcError(f"record {number}: block digest")
-        payload = block[block.find(b"\r\n\r\n") + 4 :]
-        if fields["WARC-Type"] == "response" and hashlib.sha1(payload).digest() != digest_of(fields["WARC-Payload-Digest"]):
+        # Of HTTP messages the payload is what stands behind the head; other blocks are payloads whole.
+        payload = block[block.find(b"\r\n\r\n") + 4 :] if "application/http" in fields.get("Content-Type", "") and b"\r\n\r\n" in block else block
+        if fields["WARC-Type"] != "revisit" and not matches(fields.get("WARC-Payload-Digest"), payload):
             raise WarcError(f"record {number}: payload digest")
-        yield fields, block, digest_of(fields["WARC-Payload-Digest"]).hex()
+        told = digest_of(fields.get("WARC-Payload-Digest"))
+        yield fields, block, told[1].hex() if told and told[0] == "sha1" else None if fields["WARC-Type"] == "revisit" else hashlib.sha1(payload).hexdigest()
         number += 1
 
 
-def digest_of(field: str) -> bytes:
-    return base64.b32decode(field.removeprefix("sha1:"))
+def digest_of(field: str | None) -> tuple[str, bytes] | None:
+    """(algorithm, digest) of a field like sha1:..., in base 16 or 32; None if there is none or it is of another form."""
+    name, _, value = (field or "").partition(":")
+    name = name.strip().lower().replace("-", "")
+    size = {"md5": 16, "sha1": 20, "sha256": 32, "sha512": 64}.get(name)
+    value = value.strip()
+    if size and len(value) == 2 * size:
+        return name, bytes.fromhex(value)
+    if size and len(value.rstrip("=")) == -(-8 * size // 5):
+        value = value.rstrip("=").upper()
+        return name, base64.b32decode(value + "=" * (-len(value) % 8))
+    return None
+
+
+def matches(field: str | None, data: bytes) -> bool:
+    """Whether data has the digest of a field; true where there is none that is known."""
+    own = digest_of(field)
+    return own is None or hashlib.new(own[0], data).digest() == own[1]
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -114,7 +151,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for page_id, url, html, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 out = out or fs.open_output_stream(name, compression=None)
                 kind = "response" if refers_to is None else "revisit"
-                out.write(record(kind, url or "", f"<urn:page:{page_id}>", html.encode(), bytes.fromhex(digest), f"<urn:page:{refers_to}>"))
+                out.write(record(kind, url or "", f"<urn:page:{page_id}:{digest}>", html.encode(), bytes.fromhex(digest), f"<urn:page:{refers_to}:{digest}>"))
                 n += 1
         if out:
             out.close()
@@ -124,12 +161,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Every record of the archives: page_id, url, payload_bytes, payload_digest, record_type,
-    refers_to, payload (null for revisits). Archives are dealt out one by one."""
+    """Every record of the archives, of any type: page_id (of write_archives()' ids, else null), url, payload_bytes, payload_digest,
+    record_type, refers_to, payload (null for revisits). Archives are dealt out one by one."""
 
     def page(urn: str | None) -> int | None:
-        own = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-        return None if own in ("", "None") else int(own)
+        own = PAGE.match(urn or "")
+        return int(own[1]) if own else None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pa.fs.FileSystem.from_uri(folder)
@@ -144,10 +181,12 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
             for name in b.column(0).to_pylist():
                 with fs.open_input_stream(f"{path}/{name}", compression=None) as source:
                     for fields, block, digest in read_records(source):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        length = next(int(x.split(b": ")[1]) for x in head.split(b"\r\n") if x.startswith(b"Content-Length: "))
-                        whole = fields["WARC-Type"] == "response"
-                        rows.append((page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], length, digest, fields["WARC-Type"], page(fields.get("WARC-Refers-To")), payload if whole else None))
+                        http = "application/http" in fields.get("Content-Type", "")
+                        head, _, payload = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+                        whole = fields["WARC-Type"] != "revisit"
+                        told = next((int(v) for k, _, v in (x.partition(b":") for x in head.split(b"\r\n")) if k.strip().lower() == b"content-length" and v.strip().isdigit()), None)
+                        length = len(payload) if whole else told
+                        rows.append((page(fields.get("WARC-Record-ID")), fields.get("WARC-Target-URI"), length, digest, fields["WARC-Type"], page(fields.get("WARC-Refers-To")), payload if whole else None))
                         size += len(block)
                         if size > 1 << 22 or len(rows) >= 4096:
                             yield batch()

@@ -56,6 +56,44 @@ def test_raked_marginals(spark, mid):
     assert abs(drawn - out.agg(F.sum("probability")).first()[0]) < 5 * drawn**0.5
 
 
+def test_mix_against_a_plain_version(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn("topic", F.when(F.col("doc_id") % 3 == 0, "a").otherwise("b"))
+    goal = {"topic": {"a": 0.5, "b": 0.5}}
+    rows = mix(docs, targets=goal).withColumn("draw", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 11) / F.lit(float(1 << 53))).collect()
+    cells = {}
+    for r in rows:
+        assert r.n_tokens == max(1, len([x for x in __import__("re").split(r"[ \t\n\x0b\f\r]+", r.text) if x]))
+        key = (r.source, r.lang, r.topic)
+        cells[key] = cells.get(key, 0) + r.n_tokens
+    total, w, want = sum(cells.values()), dict.fromkeys(cells, 1.0), []
+    for m in range(3):
+        own = {}
+        for k, n in cells.items():
+            own[k[m]] = own.get(k[m], 0) + n
+        raw = goal["topic"] if m == 2 else {v: (n / total) ** 0.7 for v, n in own.items()}
+        want.append({v: x / sum(raw.values()) for v, x in raw.items()})
+    for _ in range(2000):
+        for m in range(3):
+            mass = {}
+            for k, n in cells.items():
+                mass[k[m]] = mass.get(k[m], 0) + w[k] * n
+            w = {k: x * want[m][k[m]] * total / mass[k[m]] for k, x in w.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(1, mid * w[k]) * n for k, n in cells.items()) < 0.5 * total else (low, mid)
+    for r in rows:
+        k = (r.source, r.lang, r.topic)
+        assert abs(r.weight - w[k]) < 1e-6 * max(1, w[k]) and abs(r.probability - min(1, high * w[k])) < 1e-6
+        assert r.sampled == (r.draw < r.probability)
+
+
+def test_given_counts_and_clashing_columns(spark):
+    df = spark.createDataFrame([(i, "a b", "s", "en", 10 * i or None, f"c{i}") for i in range(4)], "doc_id long, text string, source string, lang string, n_tokens int, mix_cell string")
+    out = mix(df, tokens=F.col("n_tokens"), topic=F.lit("t"))
+    assert sorted((r.doc_id, r.n_tokens, r.mix_cell) for r in out.collect()) == [(0, 1, "c0"), (1, 10, "c1"), (2, 20, "c2"), (3, 30, "c3")]
+
+
 def test_large_mixtures_are_raked_as_a_table(spark):
     cells = spark.createDataFrame([(f"{s}{t}", s, "en" if i else None, t, 10 + 7 * i + 3 * j) for i, s in enumerate("ab") for j, t in enumerate("xyz")], "cell string, source string, lang string, topic string, tokens long")
     a, b = ({r.cell: r.probability for r in cell_weights(cells, most=m).collect()} for m in (100, 0))

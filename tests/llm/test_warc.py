@@ -42,3 +42,30 @@ def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     folder = scratch_path(spark, "test-warc")
     assert read_archives(write_archives(with_revisits(df), folder), folder).collect() == []
+
+
+def test_records_of_other_writers():
+    import base64
+    import hashlib
+
+    sha = hashlib.sha1(b"body").hexdigest()
+    info = b"WARC/1.0\r\nwarc-type: warcinfo\r\nWARC-Record-ID: <urn:x>\r\nContent-Type: application/warc-fields\r\nCONTENT-LENGTH: 9\r\n\r\nsoftware:\r\n\r\n"
+    plain = b"WARC/1.1\r\nWARC-Type:resource\r\nWARC-Target-URI: a\r\n b\r\nWARC-Payload-Digest: SHA1:" + sha.upper().encode() + b"\r\nContent-Length:4\r\n\r\nbody\r\n\r\n"
+    other = plain.replace(b"SHA1:" + sha.upper().encode(), b"sha-256:" + base64.b32encode(hashlib.sha256(b"body").digest()))
+    odd = plain.replace(b"SHA1:", b"crc99:")
+    got = list(read_records(io.BytesIO(b"".join(map(gzip.compress, (info, plain, other, odd))))))
+    assert [(f["WARC-Type"], b) for f, b, _ in got] == [("warcinfo", b"software:"), *[("resource", b"body")] * 3]
+    assert [d for *_, d in got[1:]] == [sha] * 3 and got[1][0]["WARC-Target-URI"] == "a b"
+    for bad in (plain.replace(b"Content-Length:4\r\n", b""), plain.replace(b"WARC-Type:resource\r\n", b""), plain.replace(sha.upper().encode(), b"0" * 40), b"HTTP/1.1 200 OK\r\n\r\n"):
+        with pytest.raises(WarcError):
+            list(read_records(io.BytesIO(gzip.compress(bad))))
+
+
+def test_odd_urls_and_ids(spark):
+    urls = ["http://a/\r\nWARC-Type: evil\r\n\r\nx", "http://a/ b\tc", "http://ä/é", ""]
+    df = spark.createDataFrame([(None, u, "z" * 2000) for u in urls] + [(i, u, "z" * 2000) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = scratch_path(spark, "test-warc")
+    out = read_archives(write_archives(with_revisits(df), folder), folder).collect()
+    assert sorted((r.page_id is None, r.page_id, r.record_type, r.refers_to) for r in out if r.page_id is not None) == [(False, i, "revisit", 3) for i in range(3)] + [(False, 3, "response", None)]
+    assert sum(r.page_id is None and r.record_type == "response" for r in out) == 4
+    assert {r.url for r in out} == {"http://a/%0D%0AWARC-Type:%20evil%0D%0A%0D%0Ax", "http://a/%20b%09c", "http://ä/é", ""}
