@@ -155,6 +155,10 @@ def forest_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+#: Parts that the rows of each node are dealt to while components are found.
+SALT = 8
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of edges (a long, b long); component is the smallest id reachable.
 
@@ -167,10 +171,9 @@ def components(edges: DataFrame) -> DataFrame:
         d = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if both:
             d = d.union(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Written first, so that adaptive execution can split a large node's rows in the join.
-        low = materialise(d.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
-        lows.append(low)
-        d = lookup(d, low.select("u", F.least("u", "m").alias("m")), ["u"], "inner")
+        # A large node's rows are spread over SALT tasks, each with its one row of the other side.
+        low = d.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("s"))
+        d = lookup(d.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")), low, ["u", "s"], "inner")
         if both:
             out = d.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -181,14 +184,12 @@ def components(edges: DataFrame) -> DataFrame:
         h = F.xxhash64("a", "b")
         return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 20))).first())
 
-    lows: list[DataFrame] = []
     nodes = materialise(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "cc-nodes")
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc-edges")
     was = print_of(e)
     while was[0]:
         last, e = e, materialise(step(step(e, True), False), "cc-step")
-        discard(last, *lows)
-        lows.clear()
+        discard(last)
         now = print_of(e)
         if now == was:
             break
