@@ -148,7 +148,7 @@ def reply_order(messages: DataFrame) -> DataFrame:
     turn, role, body (without quotes and the lines that announce them), reply_to, thread, depth,
     n_quotes, n_linked.
 
-    A reply stands after what it replies to. A message that quotes nothing known begins a thread.
+    Conversations and turns are integers. A reply stands after what it replies to. A message that quotes nothing known begins a thread.
     Rows that repeat a turn share its links. A null conversation or turn has no links; a null
     text is an empty one. Other columns are left out.
     """

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import forest_roots, hold, key_groups, materialise
 from .shingles import text_sets
 
-BLOCK = 512
+#: Members, and bytes of their texts, that a block has at most on average.
+BLOCK, BYTES = 1024, 1 << 22
 #: Units of fewer members are compared several at a time, up to so many members together.
 BUNDLE = 128
 #: Columns of the incidence matrix multiplied at once.
@@ -44,10 +45,11 @@ def overlaps(row: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
 def block_pairs(members: DataFrame, component: str = "component", member: str = "member") -> DataFrame:
     """members with unit columns (component, i, j): a row for each pair of blocks its block is in.
 
-    The number of blocks follows the component's size, so a unit has about two blocks of rows at most.
+    The number of blocks follows the component's members and bytes, so a unit has about two blocks at most, of short
+    texts or of long ones, and a text is sent once for each block.
     """
     # Written first, so that adaptive execution can split a large component's rows in the join.
-    size = materialise(members.groupBy(component).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
+    size = materialise(members.groupBy(component).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("text")) / BYTES)).cast("int").alias("blocks")), "blocks")
     own = members.join(size.hint("merge"), component)
     own = own.withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
