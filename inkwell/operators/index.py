@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.functions.analysis import ANALYZERS, suffixes
+from inkwell.sources.shared import ranked
 
 from .model import FieldSpec, IndexSpec
 
@@ -52,6 +53,6 @@ def document_frequency(own: DataFrame) -> DataFrame:
 
 
 def capped(own: DataFrame, most: int) -> DataFrame:
-    """At most `most` documents of a term, those of the largest ids."""
-    rank = F.row_number().over(Window.partitionBy("field", "term_type", "term", "num").orderBy(F.desc("doc_id")))
-    return own.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+    """At most `most` documents of a term, those of the largest ids. A term may be in any number of documents."""
+    ranks = ranked(own, ["field", "term_type", "term", "num"], F.desc("doc_id"), name="rank")
+    return ranks.where(F.col("rank") <= most).drop("rank")

@@ -58,3 +58,19 @@ def numbered(df: DataFrame, *order: Column | str, name: str = "number", start: i
     before = sizes.select(F.col("part").alias(f"{at}_part"), (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part")) - F.col("n")).alias(f"{at}_before"))
     own = rows.join(F.broadcast(before), F.shiftright(at, 33) == F.col(f"{at}_part"))
     return own.select(*df.columns, (F.col(f"{at}_before") + place + start).alias(name))
+
+
+def ranked(df: DataFrame, keys: list[str], *order: Column | str, name: str = "rank") -> DataFrame:
+    """df with each row's number, from 1, in its group's order, which leaves no ties. As numbered(): a group may fill many
+    tasks, each with its part of the numbers. Nulls are values of the keys."""
+    at = f"at_{uuid.uuid4().hex}"
+    rows = materialise(df.orderBy(*keys, *order).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    rows = rows.withColumn(f"{at}_part", F.shiftright(at, 33))
+    own = rows.groupBy(*(F.col(k).alias(f"{at}_{k}") for k in keys), F.col(f"{at}_part").alias(f"{at}_of")).agg(F.min(at).alias(f"{at}_first"), F.count("*").alias(f"{at}_n"))
+    # A row for each group and task, so a group has as many as it fills tasks.
+    before = F.sum(f"{at}_n").over(Window.partitionBy(*(f"{at}_{k}" for k in keys)).orderBy(f"{at}_of")) - F.col(f"{at}_n")
+    own = own.withColumn(f"{at}_before", before).hint("merge")
+    same = rows[f"{at}_part"] == own[f"{at}_of"]
+    for k in keys:
+        same &= rows[k].eqNullSafe(own[f"{at}_{k}"])
+    return rows.join(own, same).select(*(rows[c] for c in df.columns), (F.col(at) - F.col(f"{at}_first") + F.col(f"{at}_before") + 1).alias(name))

@@ -10,7 +10,7 @@ from inkwell.operators.query import And, Or, Prefix, Term, TermU32, TermU64, tex
 from inkwell.operators.ranking import SortKey, StringScore
 from inkwell.operators.search import Index
 from inkwell.sources import store
-from inkwell.sources.shared import numbered, shared_dir
+from inkwell.sources.shared import numbered, ranked, shared_dir
 from inkwell.streaming.upserts import upsert_stream
 
 SPEC = IndexSpec((FieldSpec("body"), FieldSpec("size", "u32", store=False), FieldSpec("tags", analyzer="terms", doc_value=False, store=False), FieldSpec("kind", analyzer="whole")))
@@ -98,6 +98,9 @@ def test_numbers_in_order(spark):
     want = sorted((r.k for r in df.collect()), reverse=True)
     assert [(r.k, r.number) for r in numbered(df, F.desc("k"), start=5).orderBy("number").collect()] == [(k, i + 5) for i, k in enumerate(want)]
     assert numbered(df.limit(0), "k").collect() == []
+    rows = [(None if i % 5 == 0 else f"k{i % 5 % 2}", i) for i in range(300)]
+    want = {(k, i): 1 + sum(k == q and j > i for q, j in rows) for k, i in rows}
+    assert {(r.k, r.i): r["rank"] for r in ranked(spark.createDataFrame(rows, "k string, i long").repartition(5), ["k"], F.desc("i")).collect()} == want
     none = spark.createDataFrame([], "user_id string, seq long")
     asked = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3), ("c", 4)], "user_id string, pos long")
     first = sequence.acquire(none, asked.where("pos < 3"))
