@@ -18,7 +18,7 @@ from .common import forest_roots, hold, key_groups, materialise
 from .shingles import text_sets
 
 #: Members, and bytes of their texts, that a block has at most on average.
-BLOCK, BYTES = 1024, 1 << 22
+BLOCK, BYTES = 512, 1 << 22
 #: Units of fewer members are compared several at a time, up to so many members together.
 BUNDLE = 128
 #: Columns of the incidence matrix multiplied at once.
