@@ -256,3 +256,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Shingle sets of five words, all pairs that share one, and the smallest id in reach of each document.
+OP7_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY ALL),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY ALL),
+k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY ALL)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM documents JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
