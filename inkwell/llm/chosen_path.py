@@ -105,9 +105,9 @@ def first_level(classes: DataFrame, runs: range, similarity: float) -> DataFrame
     return classes.select("rep", "sig").mapInArrow(run, "path long, run int, node long")
 
 
-def level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+def level(rows: DataFrame, classes: DataFrame, similarity: float, made: list[DataFrame]) -> DataFrame:
     """What one level makes of (path, run, node): candidate links (kind 0: a, b) and the rows of the
-    next level (kind 1: path a, node b, run)."""
+    next level (kind 1: path a, node b, run). made: gets the tables that it writes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
@@ -134,6 +134,7 @@ def level(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
 
     # Written first, so that adaptive execution can split a large bucket's rows in the join.
     size = materialise(rows.groupBy("path").agg(F.count("*").alias("size")).where("size > 1"), "path-sizes")
+    made.append(size)
     rows = lookup(rows, size, ["path"], "inner")
     chunks = F.ceil(F.col("size") / BUCKET)
     rows = rows.select("path", "run", "node", (F.col("size") > BUCKET).alias("large"), F.pmod(F.xxhash64("node", "run"), chunks).cast("int").alias("chunk"))
@@ -145,7 +146,7 @@ def candidates(classes: DataFrame, runs: range, similarity: float) -> DataFrame:
     """Candidate links (a, b) of the runs, a spanning forest for each bucket."""
     rows, found, levels = first_level(classes, runs, similarity), None, []
     while True:
-        out = materialise(level(rows, classes, similarity), "path-level")
+        out = materialise(level(rows, classes, similarity, levels), "path-level")
         levels.append(out)
         links = out.where("kind = 0").select("a", "b")
         found = links if found is None else found.unionByName(links)
@@ -205,7 +206,7 @@ def connected(classes: DataFrame, docs: DataFrame, similarity: float, recall: fl
 
     The audit's classes are AUDIT of all, drawn by hash, and AUDIT of those that the first runs found a
     candidate for, as most others have no link. Runs go on until the part of the audited links that
-    they hold is the recall; where those are under ENOUGH, until further runs join no components.
+    they hold is the recall; where those are under ENOUGH, until the runs before held that part of the classes joined.
     """
     drawn = classes.select("rep").orderBy(F.xxhash64("rep"), "rep").limit(AUDIT)
     known, found, done, was = None, None, 0, None
@@ -219,8 +220,10 @@ def connected(classes: DataFrame, docs: DataFrame, similarity: float, recall: fl
         n, hit = measured(known, groups)
         joined = groups.where("node <> component").count()
         log.info("chosen paths: %d runs hold %d of %d audited links, %d classes joined", done, hit, n, joined)
-        if hit >= recall * n and (n >= ENOUGH or joined == was):
+        if hit >= recall * n and (n >= ENOUGH or (was is not None and was >= recall * joined)):
+            discard(known)
             return groups
+        discard(groups)
         was = joined
 
 
@@ -244,8 +247,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     groups = connected(classes, docs, similarity, recall, runs)
     members = groups.withColumnRenamed("node", "doc_id")
     texts = with_ids(docs, members, "doc_id").groupBy("doc_id", "component").agg(F.min_by("text", F.xxhash64("text")).alias("text")).join(own.select(F.col("rep").alias("doc_id"), "copies").hint("merge"), "doc_id")
-    units = block_pairs(materialise(texts.withColumnRenamed("doc_id", "member"), "path-members"))
-    seen = materialise(verified(units, similarity), "path-links")
+    members = materialise(texts.withColumnRenamed("doc_id", "member"), "path-members")
+    seen = materialise(verified(block_pairs(members), similarity), "path-links")
+    discard(members)
     links = seen.groupBy(F.col("member").alias("rep")).agg(F.sum("links").alias("links"))
     classed = components(seen.select(F.col("member").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"node": "rep", "component": "class_id"})
     result = own.select("n", "d1", "d2", "rep", "copies").join(links, "rep", "left").join(classed, "rep", "left")
